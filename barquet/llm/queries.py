@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import mixing, pii, preference
+from barquet.llm import language, licenses, media, mixing, pii, preference, topk
 from barquet.session import table
 
 #: Stands for the secret that a deployment keeps outside the code.
@@ -18,11 +18,24 @@ def fold(doc_id: str, n: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(n))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantized(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows.where(F.col("id") % 20 == 0), rows, k=20)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, PII_KEY)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(fold("doc_id", 3) != 1))
+    out = language.identify(docs, model, keep=["doc_id"])
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = preference.gather(table(spark, sf_dir, "conversations"), "conv_id")
     out = preference.format_pairs(preference.swap_last_answers(whole, "conv_id"))
@@ -35,9 +48,36 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_pii": op2_pii, "op5_preference": op5_preference, "op6_mix": op6_mix}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.features(media.store(docs)).drop("tile")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_pii": op2_pii,
+    "op4_language": op4_language,
+    "op5_preference": op5_preference,
+    "op6_mix": op6_mix,
+    "op7_media": op7_media,
+    "op9_licenses": op9_licenses,
+}
 
 ORACLE_SQL = {
+    "op1_topk": r"""
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op5_preference": r"""
 WITH conv AS (
   SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
