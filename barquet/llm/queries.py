@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import language, licenses, media, mixing, pii, preference, topk
+from barquet.llm import bpe, language, licenses, lm, media, mixing, pii, preference, topk
 from barquet.session import table
 
 #: Stands for the secret that a deployment keeps outside the code.
@@ -57,6 +57,24 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("train"))
+    return lm.score(docs, keep=["doc_id", "held_out"])
+
+
+def tokenizer() -> str:
+    """The tokenizer that the query and the pipeline encode with."""
+    import public_tokenizers
+
+    return bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -64,7 +82,9 @@ QUERIES = {
     "op5_preference": op5_preference,
     "op6_mix": op6_mix,
     "op7_media": op7_media,
+    "op8_lm": op8_lm,
     "op9_licenses": op9_licenses,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
