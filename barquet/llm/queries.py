@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import bpe, language, licenses, lm, media, mixing, pii, preference, topk
+from barquet.llm import bpe, jaccard, language, licenses, lm, media, mixing, pii, preference, topk
 from barquet.session import table
 
 #: Stands for the secret that a deployment keeps outside the code.
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, PII_KEY)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(fold("doc_id", 3) != 1))
@@ -78,6 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
+    "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op5_preference": op5_preference,
     "op6_mix": op6_mix,
