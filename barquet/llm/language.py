@@ -29,6 +29,7 @@ from barquet.llm import tokens
 UNDETERMINED = "und"
 SLOTS, KINDS = 1 << 15, 4
 MAX_LANGUAGES = 64
+READ_BYTES, LABEL_BYTES = 1 << 20, 6 << 20  #: bytes of text whose letters, and whose words, a task holds in arrays
 
 #: Code point ranges of scripts. Letters outside them form one more group.
 SCRIPTS = (
@@ -49,9 +50,9 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 @lru_cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: is it a letter, its script (0: neither letter nor mark), its lower case."""
-    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    letter = np.array([k == "L" for k in kind])
-    script = np.where([k in "LM" for k in kind], N_SCRIPTS - 1, 0).astype(np.uint8)
+    kind = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    letter = kind == ord("L")
+    script = np.where(letter | (kind == ord("M")), N_SCRIPTS - 1, 0).astype(np.uint8)
     number = {name: i + 1 for i, name in enumerate(dict.fromkeys(name for name, _, _ in SCRIPTS))}
     for name, a, b in SCRIPTS:
         part = script[a : b + 1]
@@ -132,7 +133,7 @@ class Model:
         out = self.weights[2][words.slots[2]] + self.weights[3][words.slots[3]]
         if n:
             first = np.searchsorted(words.of_char, np.arange(n))
-            step = max(1, (1 << 24) // (4 * len(self.languages)))
+            step = max(1, (1 << 22) // len(self.languages))
             cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(words.of_char), step)), n))
             for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True):  # bounded rows at a time
                 if b > a:
@@ -207,7 +208,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     size = KINDS * SLOTS + N_SCRIPTS
     for batch in batches:
-        for part in tokens.slices(batch, "text"):
+        for part in tokens.slices(batch, "text", READ_BYTES):
             for name in pc.unique(part["lang"]).to_pylist():
                 words = read_words(part["text"].filter(pc.equal(part["lang"], name)))
                 total = totals.setdefault(name, np.zeros(size, np.int64))
@@ -235,7 +236,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "__text", 4 * tokens.SLICE_BYTES):
+            for part in tokens.slices(batch, "__text", LABEL_BYTES):
                 columns = _label(part, model)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], [*keep, *made])
 
@@ -244,9 +245,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
 
 def _label(part: pa.RecordBatch, model: Model) -> list[pa.Array]:
     n_lang, n = len(model.languages), part.num_rows
-    pieces = [read_words(p["__text"]) for p in tokens.slices(part, "__text", tokens.SLICE_BYTES)]
-    scores = np.concatenate([model.scores(w) for w in pieces])
-    per_text, letters, first, last = (np.concatenate([getattr(w, k) for w in pieces]) for k in ("per_text", "letters", "first", "last"))
+    pieces = []
+    for p in tokens.slices(part, "__text", READ_BYTES):
+        w = read_words(p["__text"])
+        pieces.append((model.scores(w), w.per_text, w.letters.astype(np.int32), w.first.astype(np.int32), w.last.astype(np.int32)))
+    scores, per_text, letters, first, last = (np.concatenate(x) for x in zip(*pieces, strict=True))
     labels = viterbi(scores, per_text, model.prior, model.penalty)
     text_of = np.repeat(np.arange(n), per_text)
     share = np.bincount(text_of * n_lang + labels, weights=letters, minlength=n * n_lang).reshape(n, n_lang)
@@ -256,7 +259,7 @@ def _label(part: pa.RecordBatch, model: Model) -> list[pa.Array]:
     opens = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])])) if len(labels) else np.zeros(0, int)
     closes = np.append(opens[1:], len(labels)) - 1 if len(opens) else opens
     spans = pa.StructArray.from_arrays(
-        [pa.array(first[opens].astype(np.int32)), pa.array(last[closes].astype(np.int32) + 1), pa.array(names[labels[opens]], pa.string())], ["start", "end", "lang"]
+        [pa.array(first[opens]), pa.array(last[closes] + 1), pa.array(names[labels[opens]], pa.string())], ["start", "end", "lang"]
     )
     at = np.searchsorted(text_of[opens], np.arange(n + 1)).astype(np.int32)
     return [pa.array(names[top], pa.string()), pa.array(share.max(1) / np.maximum(total, 1)), pa.ListArray.from_arrays(pa.array(at), spans)]
