@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "risk_metrics"
+from barquet.plans import bars, runs
+
+FLAGSHIP = "strategy_run_comparison"
+QUERIES: dict = {**runs.QUERIES, **bars.QUERIES}
+ORACLE_SQL: dict = {**runs.ORACLE_SQL, **bars.ORACLE_SQL}
