@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barquet.plans import bars, runs
+from barquet.plans import bars, engine, runs
 
-FLAGSHIP = "strategy_run_comparison"
-QUERIES: dict = {**runs.QUERIES, **bars.QUERIES}
-ORACLE_SQL: dict = {**runs.ORACLE_SQL, **bars.ORACLE_SQL}
+FLAGSHIP = "backtest_comparison"
+QUERIES: dict = {**runs.QUERIES, **bars.QUERIES, **engine.QUERIES}
+ORACLE_SQL: dict = {**runs.ORACLE_SQL, **bars.ORACLE_SQL, **engine.ORACLE_SQL}
