@@ -5,8 +5,9 @@ links.
 
 1. Texts of equal sets are one class; only classes are compared.
 2. Candidates: sorted by how many texts have it, rarest first, two sets this similar share one of their first
-   ``n - ceil(threshold * n) + 1`` shingles, so no link is lost. Frequencies come from a count of all shingles of
-   all texts in a table of fixed size; any fixed order would do, this one keeps common passages out of the prefixes.
+   ``n - ceil(threshold * n) + 1`` shingles, so no link is lost. Blocks of texts look up these frequencies
+   (``blocks``), which count all shingles of all texts by 40 bits of their hash; any fixed order would be right,
+   this one keeps shared passages out of the prefixes, and a shingle that only one text has needs no partner.
    Classes that share such a shingle are connected, and each connected component is cut into blocks, so that large
    components are spread over tasks, a pair of blocks each.
 3. Pruning: MinHash values of a pair are compared ``STEP`` at a time. With m of n equal and a uniform prior, the
@@ -22,20 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barquet.llm import tokens
+from barquet.llm import blocks, tokens
 from barquet.llm.graph import components
 from barquet.session import use_checkpoints
 
 WORDS, THRESHOLD = 5, 0.8
-SKETCH, SKETCH_ROW = 1 << 18, 1 << 12  #: counters for shingles, and those sent in a row
+CUT_BITS = np.uint64(24)  #: of a shingle's hash, these don't count for its frequency
 HASHES, STEP, TOLERANCE = 128, 16, 1e-8
 BLOCK = 512  #: classes in a block
-POSTS = 2_000_000  #: (shingle, class) rows that a task holds
 PAIRS = 100_000  #: pairs that are compared at a time
-READ = "doc_id long, key long, n int, part int, counts binary"
+READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("shingle", T.LongType())])
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,85 +77,92 @@ def set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _slot(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - 18)).astype(np.int64)
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Compress whole numbers by their bytes of equal weight: small ones, and gaps of sorted ones, take little."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _read(words: int):
-    """Key and size of each text's set; the counters that the task's shingles add to, in rows of their own."""
+def _expand(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                values, sizes = shingles(part["text"], words)
-                counts += np.bincount(_slot(values), minlength=SKETCH)
-                none = sizes == 0
-                n = part.num_rows
-                keys = pa.array(set_keys(values, sizes), mask=none)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], keys, pa.array(sizes.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "key", "n", "part", "counts"])
-        rows = [k for k in range(SKETCH // SKETCH_ROW) if counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].any()]
-        bodies = [counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].tobytes() for k in rows]
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(rows, pa.int32()), pa.array(bodies, pa.binary())], ["doc_id", "key", "n", "part", "counts"])
 
-    return run
+def _ask(rows: DataFrame, words: int, p: blocks.Plan) -> DataFrame:
+    """Each block's distinct shingles (40 bits, sorted, as gaps) by bucket, and how many of its texts have them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in blocks.cut(batches, "text"):
+            found = [np.unique(shingles(part["text"], words)[0] >> CUT_BITS, return_counts=True) for part in tokens.slices(block, "text")]
+            keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([n for _, n in found]), len(keys)).astype(np.uint64)
+            at = blocks.bucket_cuts(keys << CUT_BITS, p.buckets)
+            for k in range(p.buckets):
+                part = slice(at[k], at[k + 1])
+                row = (name, k, _squeeze(np.diff(keys[part], prepend=np.uint64(0))), _squeeze(counts[part]))
+                yield blocks.rows_of([row], ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "gaps"), (pa.binary(), "counts")))
 
-def _frequencies(read: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up: SKETCH numbers, whatever the input."""
+    return rows.mapInArrow(run, "block long, bucket int, gaps binary, counts binary")
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in group["counts"]], axis=0)
-        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = read.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        out[r.part * SKETCH_ROW : (r.part + 1) * SKETCH_ROW] = np.frombuffer(r.counts, np.int64)
-    return out
+def _answer(asked: DataFrame) -> DataFrame:
+    """How many texts have each shingle, to each block in the order asked."""
 
+    def resolve(group: pa.Table) -> pa.Table:
+        lists = [np.cumsum(_expand(x), dtype=np.uint64) for x in group["gaps"].to_pylist()]
+        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(place, np.concatenate([_expand(x) for x in group["counts"].to_pylist()]), len(keys)).astype(np.uint64)
+        bodies = [_squeeze(total[np.searchsorted(keys, x)]) for x in lists]
+        out = list(zip(group["block"].to_pylist(), group["bucket"].to_pylist(), bodies, strict=True))
+        return pa.Table.from_batches([blocks.rows_of(out, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "body")))])
 
-def _posts(words: int, threshold: float, frequencies: np.ndarray):
-    """(shingle, class) for the prefix of each set.
+    return asked.groupBy("bucket").applyInArrow(resolve, blocks.PACKED)
 
-    Rows of a task that share a shingle are joined there already: only the smallest class goes on for it, and each
-    other class is tied to that one by a shingle of their own. A common shingle leaves a task once or few times.
-    """
 
-    def tied(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        shingle, key = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.lexsort((key, shingle))
-        shingle, key = shingle[order], key[order]
-        first = np.ones(len(key), bool)
-        first[1:] = shingle[1:] != shingle[:-1]
-        least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
-        other = np.flatnonzero(key != least)
-        edges = np.unique(np.stack([key[other], least[other]]), axis=1)
-        own = tokens.combine(edges[0].view(np.uint64), edges[1].view(np.uint64))
-        out = np.concatenate([shingle[first], own, own]), np.concatenate([key[first], edges[0], edges[1]])
-        return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["shingle", "key"])
+def _tied(shingle: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, class) rows of a block, in which no shingle is repeated for many classes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                values, sizes = shingles(part["text"], words)
-                keys = set_keys(values, sizes)
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, frequencies[_slot(values)], text))
-                nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-                kept = order[nth < prefix[text]]
-                held.append((values[kept], keys[text[kept]]))
-                size += len(kept)
-                if size > POSTS:
-                    yield tied(held)
-                    held, size = [], 0
-        if held:
-            yield tied(held)
-
-    return run
+    Classes that share a shingle are joined here already: only the smallest goes on for it, and each other is tied
+    to that one by a shingle of their own. So a common shingle leaves a block once.
+    """
+    order = np.lexsort((key, shingle))
+    shingle, key = shingle[order], key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = shingle[1:] != shingle[:-1]
+    least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
+    other = np.flatnonzero(key != least)
+    edges = np.unique(np.stack([key[other], least[other]]), axis=1)
+    own = tokens.combine(edges[0].view(np.uint64), edges[1].view(np.uint64))
+    return np.concatenate([shingle[first], own, own]), np.concatenate([key[first], edges[0], edges[1]])
+
+
+def _solve(words: int, threshold: float):
+    """For a block: key and size of each text's set, and (shingle, class) for the prefixes, less what only one text has."""
+
+    def solve(block: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        frequency = np.concatenate([_expand(x) for x in got])
+        parts = [(part, *shingles(part["text"], words)) for part in tokens.slices(block, "text")]
+        known = np.unique(np.concatenate([np.unique(v >> CUT_BITS) for _, v, _ in parts]))
+        posts = []
+        for part, values, sizes in parts:
+            keys, n = set_keys(values, sizes), part.num_rows
+            named = part["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+            texts = np.repeat(np.arange(n), sizes)
+            often = frequency[np.searchsorted(known, values >> CUT_BITS)]
+            order = np.lexsort((values, often, texts))
+            nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            kept = order[nth < prefix[texts]]
+            kept = kept[(often[kept] > 1) & named[texts[kept]]]
+            posts.append((values[kept], keys[texts[kept]]))
+            columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "shingle"])
+        shingle, key = _tied(*(np.concatenate(x) for x in zip(*posts, strict=True)))
+        n = len(key)
+        columns = [pa.nulls(n, pa.int64()), pa.array(key), pa.nulls(n, pa.int32()), pa.array(shingle.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "shingle"])
+
+    return solve
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -316,12 +325,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """
     use_checkpoints(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    read = rows.mapInArrow(_read(words), READ).checkpoint()
-    ids = read.where("part is null").select("doc_id", "key", "n")
-    frequencies = _frequencies(read).astype(np.int32)
-
+    p = blocks.plan(rows, "text")
+    read = blocks.finish(rows, _answer(_ask(rows, words, p)), "text", p, _solve(words, threshold), READ).checkpoint()
+    ids = read.where("shingle is null").select("doc_id", "key", "n")
+    posts = read.where("shingle is not null").select("shingle", "key")
     named = rows.where("doc_id is not null and text is not null")
-    posts = named.select("text").mapInArrow(_posts(words, threshold, frequencies), "shingle long, key long")
     least = posts.withColumn("least", F.expr("min(key) over (partition by shingle)"))
     near = components(least.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
 
