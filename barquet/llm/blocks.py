@@ -8,9 +8,11 @@ every occurrence through a shuffle would cost many times the input. Instead
 2. each bucket resolves the keys of all blocks together and answers each block with one row;
 3. the block itself, packed, meets its answers and is finished there.
 
-A key leaves a block once, however frequent it is, so no bucket is hot. Blocks are made twice, for 1 and for 3. They
-are named by a hash of their content, and a block that gets no answers is an error, so that rows read in another
-order the second time can never give wrong results: ``docs`` should be a table that is read, or a checkpoint.
+A key leaves a block once, however frequent it is, so no bucket is hot. A block and bucket without common keys have no
+row, so there are never more rows than keys; larger blocks and buckets (as the executors' memory allows) mean fewer
+rows. Blocks are made twice, for 1 and for 3. They are named by a hash of their content, and a block that doesn't get an
+answer for each of its keys is an error, so that rows read in another order the second time can never give wrong
+results: ``docs`` should be a table that is read, or a checkpoint.
 """
 
 from __future__ import annotations
@@ -100,6 +102,16 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def fits(right: bool) -> None:
+    if not right:
+        raise RuntimeError("a block and its answers don't fit: the input was read in another order")
+
+
+def joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    """The arrays in a row, of which there may be none."""
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
 def finish(
     docs: DataFrame,
     answers: DataFrame,
@@ -115,8 +127,7 @@ def finish(
 
         def solved() -> Iterator[pa.RecordBatch]:
             if name is not None:
-                if rows is None or len(got) != p.buckets:
-                    raise RuntimeError("a block and its answers don't fit: the input was read in another order")
+                fits(rows is not None)
                 yield from solve(rows, got)
 
         for batch in batches:

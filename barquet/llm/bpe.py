@@ -76,8 +76,9 @@ def ask(docs: DataFrame, text: str, p: blocks.Plan) -> DataFrame:
         for name, rows in blocks.cut(batches, text):
             keys, words = _distinct(rows, text)
             at = blocks.bucket_cuts(keys, p.buckets)
-            lists = [(name, k, b"\n".join(words[a:b]).decode("utf-8", "replace")) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-            yield blocks.rows_of(lists, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.string(), "words")))
+            lists = [(name, k, b"\n".join(words[a:b]).decode("utf-8", "replace")) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            if lists:
+                yield blocks.rows_of(lists, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.string(), "words")))
 
     return docs.mapInArrow(run, ASKED)
 
@@ -90,7 +91,7 @@ def answer(asked: DataFrame, definition: str) -> DataFrame:
         out = []
         packer = zstandard.ZstdCompressor()
         for block, bucket, words in zip(*(group[c].to_pylist() for c in ("block", "bucket", "words")), strict=True):
-            words = words.split("\n") if words else []
+            words = words.split("\n")
             new = [w for w in words if w not in known]
             known.update(zip(new, _encode(new, definition), strict=True))
             ids = [known[w] for w in words]
@@ -126,7 +127,8 @@ def encode(docs: DataFrame, definition: str, keep: list[str] | None = None, text
     schema = T.StructType([*(source.schema[c] for c in keep), *(T.StructField(c, kinds[c]) for c in outputs)])
 
     def solve(rows: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
-        counts, flat = (np.concatenate(x) for x in zip(*map(_read_answer, got), strict=True))
+        answers = [_read_answer(x) for x in got]
+        counts, flat = (blocks.joined([x[i] for x in answers], np.uint32) for i in range(2))
         begin = np.cumsum(counts.astype(np.int64)) - counts
         known, parts = [], []
         for part in tokens.slices(rows, "__text"):
@@ -136,6 +138,7 @@ def encode(docs: DataFrame, definition: str, keep: list[str] | None = None, text
             parts.append((part, h, n_words))
             known.append(np.unique(h))
         keys = np.unique(np.concatenate(known))
+        blocks.fits(len(keys) == len(counts))
         pieces = _pieces(definition)
         for part, h, n_words in parts:
             word = np.searchsorted(keys, h)

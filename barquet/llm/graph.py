@@ -11,25 +11,28 @@ from barquet.session import use_checkpoints
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges (``a, b``, both long): nodes are connected if their roots are equal.
 
-    Rounds of contraction: each node merges into its smallest neighbour, and the edges between what they merged into
-    go on to the next round until none is left. Nodes should be hashes, so that their order is random and a round
-    leaves a fixed share of them; there are then about as many rounds as the logarithm of the largest component.
-    A node's edges are reduced to their minimum before they are shuffled. Each round is checkpointed.
+    Rounds of contraction: each node merges into its smallest neighbour (or itself) by an order that a hash draws
+    anew for each round, and the edges between what they merged into go on to the next round until none is left. A
+    round keeps a fixed share of the nodes at most, on average, so there are about as many rounds as the logarithm
+    of the largest component, whatever its shape. A node's edges are reduced to their minimum before they are
+    shuffled. Each round is checkpointed.
     """
     use_checkpoints(edges.sparkSession)
-    left = edges.where("a <> b").distinct().checkpoint()
+    left = edges.where("a <> b").select("a", "b").distinct().checkpoint()
     labels = None
+    rounds = 0
     while not left.isEmpty():
+        rounds += 1
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("into"))
-        step = step.checkpoint()
+        step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), rank("node"))["x"].alias("into")).checkpoint()
         if labels is None:
             labels = step.select("node", F.col("into").alias("root"))
         else:
             moved = step.select(F.col("node").alias("root"), "into")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root"))
-        to = lambda end: step.select(F.col("node").alias(end), F.col("into").alias(f"{end}_into"))
+            labels = labels.join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root")).checkpoint()
+        to = lambda end: step.select(F.col("node").alias(end), F.col("into").alias(f"{end}_into"))  # noqa: B023, E731
         left = left.join(to("a"), "a").join(to("b"), "b").select(F.col("a_into").alias("a"), F.col("b_into").alias("b")).where("a <> b").distinct().checkpoint()
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels.checkpoint()
+    return labels

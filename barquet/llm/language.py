@@ -178,13 +178,16 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, prior: np.ndarray, penalty
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000, penalty: float = 6.0) -> Model:
     """Learn from rows whose text and ``lang`` aren't null, about ``per_language`` of each language at most.
 
-    Raises ValueError if no row is labelled or there are more than ``MAX_LANGUAGES`` languages.
+    Where no row is labelled there is nothing to learn, and the model calls every text ``und``. More than
+    ``MAX_LANGUAGES`` languages raise ValueError.
     """
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if not 0 < len(counts) <= MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; between 1 and {MAX_LANGUAGES} can be learned")
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
+    if not languages:
+        return Model([], np.zeros((KINDS, SLOTS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), np.zeros(0), penalty)
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     rows = usable.where(drawn).mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
@@ -245,6 +248,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
 
 def _label(part: pa.RecordBatch, model: Model) -> list[pa.Array]:
     n_lang, n = len(model.languages), part.num_rows
+    if not n_lang:
+        return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
     pieces = []
     for p in tokens.slices(part, "__text", READ_BYTES):
         w = read_words(p["__text"])

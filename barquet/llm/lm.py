@@ -91,6 +91,8 @@ def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
             a, b = blocks.bucket_cuts(words, p.buckets), blocks.bucket_cuts(pairs, p.buckets)
             for k in range(p.buckets):
                 w, v = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
+                if a[k] == a[k + 1] and b[k] == b[k + 1]:
+                    continue
                 row = (name, k, words[w].tobytes(), _zip(n_words[w]), pairs[v].tobytes(), _zip(n_pairs[v]))
                 yield blocks.rows_of([row], ((pa.int64(), "block"), (pa.int32(), "bucket"), *((pa.binary(), c) for c in ("words", "word_counts", "pairs", "pair_counts"))))
 
@@ -122,7 +124,7 @@ class Automaton:
 
     root: np.ndarray  #: weight of each word's arc from the root
     fail: np.ndarray  #: weight of each state's failure arc; the root has none
-    arc: np.ndarray  #: weight of each pair's arc from its first word, NaN if there is none
+    arc: np.ndarray  #: weight of each pair's arc from its first word, NaN if there is none (and last, for number -1)
     goto: np.ndarray  #: state after each word
 
     @classmethod
@@ -131,6 +133,7 @@ class Automaton:
         p = (words + 1.0) / (n + v + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             arc = np.where(pairs > 0, np.log10((pairs + DIRICHLET * p[second]) / (words[first] + DIRICHLET)), np.nan)
+        arc = np.append(arc, np.nan)
         known = words > 0
         fail = np.append(np.where(known, np.log10(DIRICHLET / (words + DIRICHLET)), 0.0), 0.0)
         return cls(np.log10(p), fail, arc, np.where(known, np.arange(len(words)), len(words)))
@@ -148,7 +151,7 @@ class Automaton:
         for t, n in enumerate(running):
             at, now = starts[:n] + t, state[:n]
             w, arcs = word[at], pair[at]
-            weight = np.where((now < rest) & (arcs >= 0), self.arc[arcs], np.nan)
+            weight = np.where(now < rest, self.arc[arcs], np.nan)
             total[:n] += np.where(np.isnan(weight), self.fail[now] + self.root[w], weight)
             state[:n] = self.goto[w]
         out = np.zeros(len(sizes))
@@ -182,9 +185,10 @@ def score(docs: DataFrame, train: str = "train", keep: list[str] | None = None,
         n_pairs = np.concatenate([x[k:] for k, x in halves])
         parts = [(part, *_stream(part, "__text")) for part in tokens.slices(rows, "__text")]
         stream, sizes = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
-        _, word = np.unique(stream, return_inverse=True)
+        known, word = np.unique(stream, return_inverse=True)
         keys, at = _pairs(stream, sizes)
         distinct, where, number = np.unique(keys, return_index=True, return_inverse=True)
+        blocks.fits(len(known) == len(n_words) and len(distinct) == len(n_pairs))
         pair = np.full(len(stream), -1)
         pair[at] = number
         first, second = word[at[where] - 1], word[at[where]]
