@@ -67,7 +67,7 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk = table(spark, sf_dir, "events").withColumn("cents", start + F.sum(_cents("value") - 5000).over(order))
     peaked = walk.withColumn("peak", F.max("cents").over(order))
     return peaked.select(
-        F.col("event_id").alias("id"),
+        (F.col("event_id") + 1).alias("id"),
         _run_id().alias("backtest_id"),
         F.col("ts").alias("date"),
         (F.col("cents") / 100.0).alias("equity"),
@@ -84,7 +84,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pnl = (F.col("exit") - F.col("entry")) * F.col("quantity") - F.col("quantity")
     return legs.select(
-        F.col("event_id").alias("id"),
+        (F.col("event_id") + 1).alias("id"),
         _run_id().alias("backtest_id"),
         F.col("ts").alias("entry_date"),
         "exit_date",
@@ -163,10 +163,10 @@ backtest_runs AS (
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(user_id) AS created_at
   FROM events),
 equity_curve AS (
-  SELECT event_id AS id, 'run-' || user_id AS backtest_id, ts AS date, cents::DOUBLE / 100 AS equity, (cents - peak)::DOUBLE / peak AS drawdown_pct
+  SELECT event_id + 1 AS id, 'run-' || user_id AS backtest_id, ts AS date, cents::DOUBLE / 100 AS equity, (cents - peak)::DOUBLE / peak AS drawdown_pct
   FROM (SELECT *, max(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM walk)),
 trades AS (
-  SELECT event_id AS id, 'run-' || user_id AS backtest_id, ts AS entry_date, exit_date, 'LONG' AS direction, entry::DOUBLE / 100 AS entry_price,
+  SELECT event_id + 1 AS id, 'run-' || user_id AS backtest_id, ts AS entry_date, exit_date, 'LONG' AS direction, entry::DOUBLE / 100 AS entry_price,
          exit::DOUBLE / 100 AS exit_price, quantity::INTEGER AS quantity, ((exit - entry) * quantity - quantity)::DOUBLE / 100 AS pnl,
          ((exit - entry) * quantity - quantity)::DOUBLE / nullif(entry * quantity, 0) AS pnl_pct, quantity::DOUBLE / 100 AS commission
   FROM legs),
