@@ -41,7 +41,7 @@ READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key",
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: hashes, sorted within each text, and the number of each text's.
+    """Hashes of the distinct shingles of each text, text by text, and the number of each text's.
 
     Words are what ASCII white space separates, as written. A text of fewer words is a single shingle of all of
     them, one without words has none.
@@ -49,19 +49,24 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, at = tokens.text_bytes(texts)
     starts, ends, n = tokens.word_bounds(data, at)
     h = tokens.word_hashes(data, starts, ends)
-    text = np.repeat(np.arange(len(n)), n)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the end of the text
-    value, span = h.copy(), np.minimum(left, words)
+    begin, text = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    value = h.copy()
     for k in range(1, words):
-        more = np.flatnonzero(span > k)
-        value[more] = tokens.combine(value[more], h[more + k])
-    first = np.zeros(len(h), bool)
-    first[(np.cumsum(n) - n)[n > 0]] = True
-    whole = (span == words) | first
-    value = np.where(span == words, value, tokens.mix64(value + span.astype(np.uint64)))[whole]
-    text = text[whole]
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+        value[: max(len(h) - k, 0)] = tokens.combine(value[: max(len(h) - k, 0)], h[k:])
+    full = np.arange(len(h)) - begin[text] + words <= n[text]
+    for i in np.flatnonzero((n > 0) & (n < words)):
+        whole = h[begin[i] : begin[i] + 1]
+        for k in range(1, n[i]):
+            whole = tokens.combine(whole, h[begin[i] + k : begin[i] + k + 1])
+        value[begin[i]], full[begin[i]] = tokens.mix64(whole + n[i].astype(np.uint64))[0], True
+    value, text = value[full], text[full]
+    # Sorted by text and the high bits of the hash, which is quick; by all bits only if different hashes share these.
+    mixed = (text.astype(np.uint64) << np.uint64(40)) | (value >> CUT_BITS)
+    order = np.argsort(mixed)
+    mixed, value, text = mixed[order], value[order], text[order]
+    if ((mixed[1:] == mixed[:-1]) & (value[1:] != value[:-1])).any():
+        order = np.lexsort((value, text))
+        value, text = value[order], text[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     return value[fresh], np.bincount(text[fresh], minlength=len(n))
@@ -99,6 +104,8 @@ def _ask(rows: DataFrame, words: int, p: blocks.Plan) -> DataFrame:
             at = blocks.bucket_cuts(keys << CUT_BITS, p.buckets)
             for k in range(p.buckets):
                 part = slice(at[k], at[k + 1])
+                if at[k] == at[k + 1]:
+                    continue
                 row = (name, k, _squeeze(np.diff(keys[part], prepend=np.uint64(0))), _squeeze(counts[part]))
                 yield blocks.rows_of([row], ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "gaps"), (pa.binary(), "counts")))
 
@@ -140,20 +147,23 @@ def _solve(words: int, threshold: float):
     """For a block: key and size of each text's set, and (shingle, class) for the prefixes, less what only one text has."""
 
     def solve(block: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
-        frequency = np.concatenate([_expand(x) for x in got])
+        frequency = blocks.joined([_expand(x) for x in got], np.uint64)
         parts = [(part, *shingles(part["text"], words)) for part in tokens.slices(block, "text")]
-        known = np.unique(np.concatenate([np.unique(v >> CUT_BITS) for _, v, _ in parts]))
-        posts = []
+        known, place = np.unique(np.concatenate([v for _, v, _ in parts]) >> CUT_BITS, return_inverse=True)
+        blocks.fits(len(known) == len(frequency))
+        posts, done = [], 0
         for part, values, sizes in parts:
             keys, n = set_keys(values, sizes), part.num_rows
-            named = part["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+            often = frequency[place[done : done + len(values)]]
+            done += len(values)
             texts = np.repeat(np.arange(n), sizes)
-            often = frequency[np.searchsorted(known, values >> CUT_BITS)]
-            order = np.lexsort((values, often, texts))
-            nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # What only one text has comes first in the order and is left out; the rest of the prefix, if any, is sorted.
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            kept = order[nth < prefix[texts]]
-            kept = kept[(often[kept] > 1) & named[texts[kept]]]
+            left = prefix - np.bincount(texts[often < 2], minlength=n)
+            left[~part["doc_id"].is_valid().to_numpy(zero_copy_only=False)] = 0
+            at = np.flatnonzero((often > 1) & (left[texts] > 0))
+            at = at[np.lexsort((values[at], often[at], texts[at]))]
+            kept = at[np.arange(len(at)) - np.searchsorted(texts[at], texts[at]) < left[texts[at]]]
             posts.append((values[kept], keys[texts[kept]]))
             columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.nulls(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "shingle"])
