@@ -8,7 +8,8 @@ so equal values, however they are punctuated, get equal pseudonyms in all docume
 ones. E-mail addresses have no such format: their local part becomes a keyed hash, the domain stays.
 
 Defined cases: null text stays null, empty text stays empty; numbers that fail their validation (check digit, octet
-range, calendar) and all other text stay byte for byte as they were; repeated rows get the same result.
+range, calendar) and all other text stay byte for byte as they were; repeated rows get the same result. Of values
+side by side each is replaced on its own: a card ends where a valid value of another kind begins.
 """
 
 from __future__ import annotations
@@ -24,7 +25,22 @@ DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
+BYTE = "(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])"
+#: Digits that begin one of these belong to it, not to a card before them.
+OTHER = "|".join(
+    (
+        EMAIL,
+        f"(?=(?:19|20)[0-9]{{2}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])){DATE}",
+        f"(?!000|666|9|[0-9]{{3}}-00|[0-9]{{3}}-[0-9]{{2}}-0000){SSN}",
+        PHONE,
+        rf"(?={BYTE}(?:\.{BYTE}){{3}}(?![0-9])){IPV4}",
+    )
+)
+#: Groups of digits, one blank or hyphen between, of 13 digits or more in all: which of them are cards, ``_cards`` says.
+CARD = rf"(?<![0-9])(?=(?:[0-9](?:[ -](?!{OTHER}))?){{12}}[0-9])[0-9]{{1,19}}+(?![0-9])(?:[ -](?!{OTHER})[0-9]{{1,19}}+(?![0-9]))*+"
+#: Groups that belong together: none apart, or those printed on cards with one kind of separator.
+TOGETHER = "^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?:\\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$"
+CARD_DIGITS = (13, 19)
 ANY = "|".join((EMAIL, DATE, SSN, PHONE, IPV4, CARD))
 
 #: Days 1900-01-01 to 2099-12-31 are 17 x 4297.
@@ -88,13 +104,54 @@ def _refill(form: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    def valid(d: Column) -> Column:
+    """The pseudonym of a valid card number."""
+
+    def new(d: Column) -> Column:
         payload = F.slice(d, F.lit(1), F.size(d) - 1)
-        new = feistel(payload, F.transform(payload, lambda _: F.lit(10)), key, "card")
+        mixed = feistel(payload, F.transform(payload, lambda _: F.lit(10)), key, "card")
         check = lambda p: F.pmod(10 - F.pmod(_luhn_sum(p, 1), F.lit(10)), F.lit(10))
-        return let(let(new, lambda p: F.concat(p, F.array(check(p)))), lambda p: _refill(m, p))
+        return let(let(mixed, lambda p: F.concat(p, F.array(check(p)))), lambda p: _refill(m, p))
 
-    return let(_digits(m), lambda d: F.when(F.pmod(_luhn_sum(d, 0), F.lit(10)) == 0, valid(d)))
+    return let(_digits(m), new)
+
+
+def _cards(m: Column, key: Column) -> Column:
+    """Groups of digits with the cards among them replaced, and the number of cards: ``new`` (null if none), ``n``.
+
+    Every run of whole groups is tried. Of valid runs that overlap, groups that belong together go first, then the
+    leftmost, then the longest.
+    """
+    least, most = CARD_DIGITS
+
+    def runs(parts: Column) -> Column:
+        joined = lambda i, k: F.regexp_replace(F.array_join(F.slice(parts, i + 1, k), ""), "[ -]$", "")
+        run = lambda i: lambda k: F.struct(i.alias("start"), (i + k).alias("end"), joined(i, k).alias("form"))
+        lengths = lambda i: F.sequence(F.lit(1), F.least(F.size(parts) - i, F.lit(most)))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.transform(lengths(i), run(i))))
+        sized = F.filter(every, lambda r: F.length(F.regexp_replace(r["form"], "[^0-9]", "")).between(least, most))
+        return F.filter(sized, lambda r: F.pmod(_luhn_sum(_digits(r["form"]), 0), F.lit(10)) == 0)
+
+    def ranked(valid: Column) -> Column:
+        rank = lambda r: (~r["form"].rlike(TOGETHER)).cast("int")
+        order = lambda r: F.struct(rank(r).alias("rank"), r["start"].alias("start"), (-r["end"]).alias("last"), r.alias("run"))
+        return F.transform(F.array_sort(F.transform(valid, order)), lambda r: r["run"])
+
+    def chosen(order: Column) -> Column:
+        apart = lambda r: lambda p: (p["end"] <= r["start"]) | (r["end"] <= p["start"])
+        take = lambda had, r: F.when(F.forall(had, apart(r)), F.array_append(had, r)).otherwise(had)
+        return F.array_sort(F.aggregate(order, F.slice(order, F.lit(1), F.lit(0)), take))
+
+    def written(parts: Column, cards: Column) -> Column:
+        between = lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), "")
+        before = lambda q: F.when(q > 0, F.get(cards, q - 1)["end"]).otherwise(0)
+        gap = lambda r: F.regexp_extract(F.get(parts, r["end"] - 1), "[ -]$", 0)
+        put = lambda r, q: F.concat(between(before(q), r["start"]), _card(r["form"], key), gap(r))
+        rest = between(F.get(cards, F.size(cards) - 1)["end"], F.size(parts))
+        new = F.when(F.size(cards) > 0, F.concat(F.array_join(F.transform(cards, put), ""), rest))
+        return F.struct(new.alias("new"), F.size(cards).alias("n"))
+
+    pick = lambda parts: let(let(let(runs(parts), ranked), chosen), lambda cards: written(parts, cards))
+    return let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), pick)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -140,14 +197,19 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(F.lit("u"), name, F.lit("@"), F.substring_index(m, "@", -1))
 
 
-#: Kind, test of a match, pseudonym (null where the validation fails). The order is that of ``ANY``.
+def _one(new):
+    """A kind whose matches are one value each."""
+    return lambda m, key: F.struct(new(m, key).alias("new"), F.lit(1).alias("n"))
+
+
+#: Kind, test of a match, pseudonym (null where the validation fails) and number of values. The order is that of ``ANY``.
 KINDS = (
-    ("email", "@", _email),
-    ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", _date),
-    ("ssn", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn),
-    ("phone", r"^(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$", _phone),
-    ("ipv4", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", _ipv4),
-    ("card", "", _card),
+    ("email", "@", _one(_email)),
+    ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", _one(_date)),
+    ("ssn", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _one(_ssn)),
+    ("phone", r"^(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$", _one(_phone)),
+    ("ipv4", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", _one(_ipv4)),
+    ("card", "", _cards),
 )
 
 
@@ -163,16 +225,17 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", findings: str =
         choice = lambda of: reduce(
             lambda rest, k: F.when(m.rlike(k[1]), of(k)).otherwise(rest), reversed(KINDS[:-1]), of(KINDS[-1])
         )
-        return F.struct(choice(lambda k: F.lit(k[0])).alias("kind"), choice(lambda k: k[2](m, secret)).alias("new"), m.alias("old"))
+        return F.struct(choice(lambda k: F.lit(k[0])).alias("kind"), choice(lambda k: k[2](m, secret)).alias("made"), m.alias("old"))
 
     body = F.col(f"`{text}`")
     hit = body.rlike(ANY)
     found = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), judged)
     kept = docs.withColumn("__found", F.when(hit, found))
     parts = F.zip_with(
-        F.split(body, ANY, -1), F.col("__found"), lambda gap, m: F.concat(gap, F.coalesce(m["new"], m["old"], F.lit("")))
+        F.split(body, ANY, -1), F.col("__found"), lambda gap, m: F.concat(gap, F.coalesce(m["made"]["new"], m["old"], F.lit("")))
     )
-    kinds = F.transform(F.filter("__found", lambda m: m["new"].isNotNull()), lambda m: m["kind"])
+    replaced = F.filter("__found", lambda m: m["made"]["new"].isNotNull())
+    kinds = F.flatten(F.transform(replaced, lambda m: F.array_repeat(m["kind"], m["made"]["n"])))
     return kept.withColumns(
         {
             text: F.when(hit, F.array_join(parts, "")).otherwise(body),

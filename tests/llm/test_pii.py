@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import random
 import re
 
 import pytest
@@ -124,3 +125,60 @@ def test_whole_table(spark, sf):
     want = {r.doc_id: brute(r.text) for r in docs.collect()}
     got = {r.doc_id: r.text for r in pii.pseudonymize(docs, KEY).collect()}
     assert got == want
+
+
+def cards_of(run):
+    """Brute force over all runs of whole groups: the run with its cards replaced, and their number."""
+    groups = list(re.finditer("[0-9]+", run))
+    spans = [(a.start(), b.end()) for i, a in enumerate(groups) for b in groups[i:]]
+    good = [s for s in spans if 13 <= len(re.sub(r"\D", "", run[s[0] : s[1]])) <= 19 and not luhn([int(c) for c in run[s[0] : s[1]] if c.isdigit()])]
+    shapes = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
+
+    def together(s):
+        part = run[s[0] : s[1]]
+        return len(set(re.sub("[0-9]", "", part))) <= 1 and (part.isdigit() or tuple(map(len, re.split("[ -]", part))) in shapes)
+
+    had = []
+    for s in sorted(good, key=lambda s: (not together(s), s[0], -s[1])):
+        if all(s[1] <= t[0] or t[1] <= s[0] for t in had):
+            had.append(s)
+    for a, b in sorted(had, reverse=True):
+        run = run[:a] + plain(run[a:b]) + run[b:]
+    return run, len(had)
+
+
+def test_adjacent_values(spark):
+    """Each value beside a card is replaced as if it stood alone; other digit groups don't hide a card."""
+    forms = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424", "4222222222222", "30569309025904"]
+    others = ["170.106.47.218", "8.8.8.8", "123-45-6789", "1984-02-29", "217-555-0199", "1-217-555-0199", "12ab@mail.example.com", *forms]
+    rows, want = [], []
+    for card in forms:
+        for other in others:
+            for left, right in ((card, other), (other, card)):
+                for end in ("", ".", " and so on"):
+                    rows.append(f"{left} {right}{end}")
+                    want.append((f"{plain(left)} {plain(right)}{end}", 2))
+        for few in ("1", "12", "123", "9", "007"):
+            rows += [f"{card} {few}", f"{few} {card}", f"x {few}-{card} {few} y"]
+            want += [cards_of(t) for t in rows[-3:]]
+    rows += ["4111 11 1111-1111 11", "12 34 56 78 90 12 34 56 78 90 12 34", "4111111111111112 123", "4111111111111111-170.106.47.218", "4111 1111 1111 1111 1234 8.8.8.8"]
+    want += [cards_of(t) for t in rows[-5:-2]] + [(f"{plain(forms[0])}-{plain('170.106.47.218')}", 2), (f"{plain(forms[1])} 1234 {plain('8.8.8.8')}", 2)]
+    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "id int, text string"), KEY).orderBy("id").collect()
+    assert [(r.text, len(r.pii_kinds)) for r in out] == want
+
+
+def test_random_groups(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        text = "".join("".join(rng.choices("0123456789", k=rng.choice((1, 2, 3, 4, 4, 4, 6, 13, 16)))) + rng.choice("   -") for _ in range(rng.randint(1, 12)))[:-1]
+        if len(re.sub(r"\D", "", text)) >= 13 and not re.search("|".join((pii.DATE, pii.SSN, pii.PHONE)), text):
+            rows.append(text)
+    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "id int, text string"), KEY).orderBy("id").collect()
+    assert len(rows) > 100 and [(r.text, len(r.pii_kinds)) for r in out] == [cards_of(t) for t in rows]
+
+
+def test_very_long_run_of_groups(spark):
+    text = "1234 5678 " * 2000
+    row = pii.pseudonymize(spark.createDataFrame([(text,)], "text string"), KEY).first()
+    assert len(row.text) == len(text)
