@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-A line that speaks of licensing, with the lines between it and the next such line if few, is a candidate block. The
-block is compressed on its own and once with each template as a zstandard raw dictionary; templates are ranked by the
-share of their own information that the block saves. The best ranked are compared with the block word by word: a
-template is confirmed only if the words that are missing or put in between are few.
+A line that speaks of licensing, with the lines between it and the next such line if few, is a candidate block. Every
+template is compared word by word with the block, a stretch of about the template's length at
+a time: it is confirmed if a stretch that reaches into the block has few words missing or put in between. The block is
+also compressed on its own and once with each template as a zstandard raw dictionary: the share of their own
+information that the block saves ranks the templates where none is confirmed.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -43,7 +45,7 @@ TEMPLATES = (
 TRIGGER = r"(?i)licen[cs]|copyright|hereby granted|redistribut|free software"
 GAP_LINES = 6
 WIDE = 600  #: characters around a trigger that count where a line is longer than that
-RANKED = 4
+AROUND = 0  #: characters before and after a block that are compared too
 LEAST_GAIN = 0.25
 MOST_DIFFERENT = 0.1
 
@@ -80,9 +82,14 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def placed(text: str) -> list[tuple[str, int, int]]:
+    """Words as they are compared - lower case, without punctuation at their ends - and where they begin and end."""
+    found = ((x[0].strip("\"'.,;:()[]*#/!-").lower(), x.start(), x.end()) for x in re.finditer(r"\S+", text))
+    return [x for x in found if x[0]]
+
+
 def words(text: str) -> list[str]:
-    """Words as they are compared: lower case, without punctuation at their ends."""
-    return [w for w in (x.strip("\"'.,;:()[]*#/!-").lower() for x in text.split()) if w]
+    return [w for w, _, _ in placed(text)]
 
 
 @lru_cache
@@ -104,51 +111,121 @@ def _size(text: str) -> int:
     return len(_plain().compress(text.encode("utf-8", "replace")))
 
 
+def aligned(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Words of the template that the block lacks, words that the block puts in between, and which words of the block
+    this is about: of the stretches that both share, the run with the fewest differences."""
+    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    if not same:
+        return template, [], 0, 0
+    least = None
+    for i in range(len(same)):
+        shared = between = 0
+        for j in range(i, len(same)):
+            shared += same[j].size
+            between += same[j].b - same[j - 1].b - same[j - 1].size if j > i else 0
+            cost = (len(template) - shared + between, i - j)
+            if least is None or cost < least[0]:
+                least = cost, i, j
+    run = same[least[1] : least[2] + 1]
+    missing, extra, at = [], [], 0
+    for k, m in enumerate(run):
+        missing += template[at : m.a]
+        extra += block[run[k - 1].b + run[k - 1].size : m.b] if k else []
+        at = m.a + m.size
+    return missing + template[at:], extra, run[0].b, run[-1].b + run[-1].size
+
+
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """Words of the template that the block lacks, and words that the block puts in between."""
-    missing, extra = [], []
-    codes = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    same = [k for k, c in enumerate(codes) if c[0] == "equal"]
-    for k, (kind, a, b, c, d) in enumerate(codes):
-        if kind != "equal":
-            missing += template[a:b]
-            if same and same[0] < k < same[-1]:
-                extra += block[c:d]
-    return missing, extra
+    return aligned(template, block)[:2]
+
+
+def _stretches(template: list[str], block: list[str]) -> Iterator[tuple[list[str], list[str], int, int]]:
+    """Each stretch of the block that differs little from the template, as ``aligned``."""
+    most = MOST_DIFFERENT * len(template)
+    bag = Counter(template)
+    if (bag - Counter(block)).total() > most:
+        return
+    size, step = len(template) + len(template) // 2, max(1, len(template) // 4)
+    for at in range(0, max(1, len(block) - size + step), step):
+        part = block[at : at + size]
+        if (bag - Counter(part)).total() <= most:
+            missing, extra, a, b = aligned(template, part)
+            if len(missing) + len(extra) <= most:
+                yield missing, extra, at + a, at + b
+
+
+def _find(text: str, a: int, b: int, had: list[tuple[str, int, int]]) -> tuple[int, int, list[tuple[str, bool, float, str, str]]]:
+    """Place and licenses (as ``judge``) of the block from a to b. ``had`` are the matches of the blocks before, which
+    don't count again; those of this one are added."""
+    begin = max(0, a - AROUND)
+    around = [(w, x + begin, y + begin) for w, x, y in placed(text[begin : b + AROUND])]
+    mine = [w for w, _, _ in around]
+    confirmed: dict[str, tuple] = {}
+    known = False
+    for name, template, _, _ in _judges():
+        for missing, extra, i, j in _stretches(template, mine):
+            start, end = around[i][1], around[j - 1][2]
+            if start >= b or end <= a:
+                continue
+            if any(n == name and start < y and x < end for n, x, y in had):
+                known = True
+                continue
+            cost = len(missing) + len(extra)
+            if name not in confirmed or cost < confirmed[name][0]:
+                confirmed[name] = cost, start, end, template, missing, extra
+    start, end = min([a, *(c[1] for c in confirmed.values())]), max([b, *(c[2] for c in confirmed.values())])
+    had += [(name, *c[1:3]) for name, c in confirmed.items()]
+    if known and not confirmed:
+        return a, b, []
+    gains = _gains(text[start:end])
+    if not confirmed:
+        gain, name, _, at = gains[0]
+        if gain < LEAST_GAIN:
+            return a, b, []
+        missing, extra = differences(_judges()[at][1], mine)
+        return a, b, [(name, False, round(gain, 6), " ".join(missing), " ".join(extra))]
+    rows = []
+    for gain, name, _, at in gains:
+        if name in confirmed and confirmed[name][3] is _judges()[at][1]:
+            rows.append((name, True, round(gain, 6), " ".join(confirmed[name][4]), " ".join(confirmed[name][5])))
+    return start, end, rows
+
+
+def _gains(block: str) -> list[tuple[float, str, int, int]]:
+    """Gain, license, number of words and place of every template, largest gain first."""
+    plain = " ".join(words(block))
+    alone = _size(plain)
+    ranks = []
+    for at, (name, template, packer, own) in enumerate(_judges()):
+        gain = (alone - len(packer.compress(plain.encode("utf-8", "replace")))) / max(1, min(alone, own))
+        ranks.append((gain, name, len(template), at))
+    return sorted(ranks, key=lambda r: (-r[0], *r[1:]))
 
 
 def judge(block: str) -> list[tuple[str, bool, float, str, str]]:
     """License, confirmed, gain, missing and extra words: every confirmed license of the block, or else the likeliest, if any."""
-    mine = words(block)
-    plain = " ".join(mine)
-    alone = _size(plain)
-    ranks = []
-    for name, template, packer, own in _judges():
-        gain = (alone - len(packer.compress(plain.encode("utf-8", "replace")))) / max(1, min(alone, own))
-        ranks.append((gain, name, template))
-    ranks.sort(key=lambda r: (-r[0], r[1], len(r[2])))
-    confirmed: dict[str, tuple] = {}
-    first = None
-    for gain, name, template in ranks[:RANKED]:
-        if gain < LEAST_GAIN:
-            break
-        missing, extra = differences(template, mine)
-        sure = len(missing) + len(extra) <= MOST_DIFFERENT * len(template)
-        row = (name, sure, round(gain, 6), " ".join(missing), " ".join(extra))
-        first = first or row
-        if sure:
-            confirmed.setdefault(name, row)
-    return list(confirmed.values()) or ([first] if first else [])
+    return _find(block, 0, len(block), [])[2]
+
+
+def licenses(text: str) -> Iterator[tuple[int, int, str, bool, float, str, str]]:
+    """Place and licenses of every block of a text."""
+    had: list[tuple[str, int, int]] = []
+    for a, b in blocks(text):
+        start, end, rows = _find(text, a, b, had)
+        for row in rows:
+            yield start, end, *row
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """One row for each license found in a block: the columns ``keep`` (all, if None) and those of ``FOUND``.
 
-    ``start`` and ``end`` are the block's place in the text, in characters; ``missing`` and ``extra`` the wording
+    ``start`` and ``end`` are the place in the text, in characters, of the block with the confirmed notices that reach
+    out of it; ``missing`` and ``extra`` the wording
     differences from the template. An unconfirmed row names the template that explains most of a block none
     fits. A map over rows without a shuffle: texts without a trigger word never leave the JVM.
 
-    Defined cases: null and empty texts, and blocks that no template helps to compress, give no row; repeated rows
+    Defined cases: null and empty texts, and blocks that neither hold a template nor are compressed better by one, give no row; repeated rows
     give repeated results; equal ranks go by name. Columns of ``keep`` named like a result are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
@@ -159,12 +236,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [
-                    (i, a, b, *found)
-                    for i, t in enumerate(part["__text"].to_pylist())
-                    for a, b in blocks(t)
-                    for found in judge(t[a:b])
-                ]
+                rows = [(i, *found) for i, t in enumerate(part["__text"].to_pylist()) for found in licenses(t)]
                 if not rows:
                     continue
                 index, *made = zip(*rows, strict=True)

@@ -39,3 +39,10 @@ def test_planted_lines(spark):
     planted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
     want = {(r.doc_id, k) for r in docs.collect() for k, v in planted.items() if v in r.text}
     assert want and {(r.doc_id, r.license) for r in L.scan(docs, keep=["doc_id"]).collect() if r.confirmed} == want
+
+
+def test_many_notices_in_one_block(spark):
+    names = {name for name, _ in L.TEMPLATES}
+    lists = ["\n".join(t for _, t in L.TEMPLATES), "\n\n".join(f"* package {i}: {t}" for i, (_, t) in enumerate(reversed(L.TEMPLATES))), " ".join(t for _, t in L.TEMPLATES)]
+    got = L.scan(spark.createDataFrame(list(enumerate(lists)), "doc_id int, text string")).collect()
+    assert Counter((r.doc_id, r.license) for r in got if r.confirmed) == {(i, n): 1 for i in range(3) for n in names}
