@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 A line that speaks of licensing, with the lines between it and the next such line if few, is a candidate block. Every
-template is compared word by word with the block, a stretch of about the template's length at
+template is compared word by word with the block and the text around it, a stretch of about the template's length at
 a time: it is confirmed if a stretch that reaches into the block has few words missing or put in between. The block is
 also compressed on its own and once with each template as a zstandard raw dictionary: the share of their own
 information that the block saves ranks the templates where none is confirmed.
@@ -45,7 +45,7 @@ TEMPLATES = (
 TRIGGER = r"(?i)licen[cs]|copyright|hereby granted|redistribut|free software"
 GAP_LINES = 6
 WIDE = 600  #: characters around a trigger that count where a line is longer than that
-AROUND = 0  #: characters before and after a block that are compared too
+AROUND = 2 * max(len(text) for _, text in TEMPLATES)  #: characters before and after a block that are compared too
 LEAST_GAIN = 0.25
 MOST_DIFFERENT = 0.1
 

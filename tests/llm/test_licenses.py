@@ -1,5 +1,6 @@
 """License scans on planted notices."""
 
+import textwrap
 from collections import Counter
 
 from barquet.llm import licenses as L
@@ -46,3 +47,18 @@ def test_many_notices_in_one_block(spark):
     lists = ["\n".join(t for _, t in L.TEMPLATES), "\n\n".join(f"* package {i}: {t}" for i, (_, t) in enumerate(reversed(L.TEMPLATES))), " ".join(t for _, t in L.TEMPLATES)]
     got = L.scan(spark.createDataFrame(list(enumerate(lists)), "doc_id int, text string")).collect()
     assert Counter((r.doc_id, r.license) for r in got if r.confirmed) == {(i, n): 1 for i in range(3) for n in names}
+
+
+def test_wrapped_notices(spark):
+    rows = []
+    for width in (20, 33, 50, 66, 72, 79):
+        for comment in ("", " * ", "# "):
+            for k, (_, text) in enumerate(L.TEMPLATES):
+                lines = [comment + x for x in textwrap.wrap(text, width)]
+                rows.append((k, "\n".join(["first of all the words", "of a file", *lines, "and then the rest of it", "or any more"])))
+    got = L.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, k int, text string")).collect()
+    times = Counter((r.doc_id, r.license) for r in got if r.confirmed)
+    assert [i for i, (k, _) in enumerate(rows) if times[i, L.TEMPLATES[k][0]] != 1] == []
+    mpl = [r for r in got if L.TEMPLATES[r.k][0] == "MPL-2.0" and r.confirmed]
+    assert all("This Source Code Form" in r.text[r.start : r.end].replace("\n", " ").replace(" * ", " ").replace(" # ", " ").replace("  ", " ") for r in mpl)
+    assert {r.doc_id for r in got if not r.confirmed} == set()
