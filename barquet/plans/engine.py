@@ -45,13 +45,15 @@ def backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = research.walk_forward(market.bars(spark, sf_dir), "ma_crossover", in_sample=252, out_of_sample=63, step=63, trials=10, seed=42)
+    """Windows of a year and a quarter, with the reference's 50 trials each."""
+    out = research.walk_forward(market.bars(spark, sf_dir), "ma_crossover", in_sample=252, out_of_sample=63, step=63, trials=50, seed=42)
     params = F.concat_ws(",", *(F.col("params")[n].cast("int").cast("string") for n in ("fast_period", "slow_period")))
     return rounded(out.withColumn("params", params), "fitted_metric", "oos_sharpe", "scale")
 
 
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = research.permutation_test(market.bars(spark, sf_dir), "breakout", {"lookback": 20.0}, permutations=40, seed=42)
+    """Every symbol's breakout runs against the reference's 1000 permutations."""
+    out = research.permutation_test(market.bars(spark, sf_dir), "breakout", {"lookback": 20.0}, permutations=1000, seed=42)
     return rounded(out, "actual", "p_value", "percentile")
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from barquet.operators import backtest as B
+from barquet.plans import engine
 
 FREE = B.Config(initial_capital=1000.0, commission_pct=0.0, slippage_pct=0.0)
 
@@ -120,3 +121,18 @@ def test_refused_parameters_give_no_curve(spark):
     bars = spark.createDataFrame(frame((1, 1, 1, 1), (2, 2, 2, 2)).assign(symbol="A"))
     specs = spark.createDataFrame([("a", "ma_crossover", "A", {"fast_period": 9.0, "slow_period": 3.0})], "run_id string, strategy string, symbol string, params map<string,double>")
     assert [r.kind for r in B.run_backtests(bars, specs).collect()] == ["invalid"]
+
+
+@pytest.mark.parametrize(("query", "operator", "setting", "number"), [("walk_forward_windows", "walk_forward", "trials", 50), ("permutation_test", "permutation_test", "permutations", 1000)])
+def test_registered_with_the_defaults_of_the_reference(monkeypatch, query, operator, setting, number):
+    class Called(Exception):
+        pass
+
+    def record(*_, **settings):
+        raise Called(settings[setting])
+
+    monkeypatch.setattr(engine.research, operator, record)
+    monkeypatch.setattr(engine.market, "bars", lambda *_: None)
+    with pytest.raises(Called) as got:
+        engine.QUERIES[query](None, "")
+    assert got.value.args == (number,)
