@@ -370,12 +370,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id; of rows that repeat an id, that of the smallest text.
+    """``docs`` with one row of each group: that of the smallest id; of different texts that repeat it in the group, the
+    same one in every run.
 
-    Rows without id stay. No row is lost but those that another row of their group stands for.
+    A row is its id and its text: rows that repeat an id with another text are judged each on its own. Rows without
+    id stay. No row is lost but those that another row of their group, or an equal row, stands for.
     """
-    gone = join(docs, doc_id, text).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
-    named = left.where(F.col(doc_id).isNotNull())
-    nth = F.expr(f"row_number() over (partition by `{doc_id}` order by `{text}`)")
-    return named.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(left.where(F.col(doc_id).isNull()))
+    own = F.col(f"`{doc_id}`")
+    named = docs.where(own.isNotNull()).withColumn("__row", F.xxhash64(own, F.col(f"`{text}`")))
+    member = join(named, "__row", text).where("n_links > 0").select(F.col("doc_id").alias("__row"), "group_id").distinct().checkpoint()
+    first = member.join(named.select("__row", own.alias("__id")), "__row").groupBy("group_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
+    left = named.join(member.join(first, "__row", "left_anti"), "__row", "left_anti")
+    nth = F.expr(f"row_number() over (partition by __row order by `{text}`)")
+    return left.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns).unionByName(docs.where(own.isNull()))

@@ -87,6 +87,18 @@ def test_keep_one(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(3, "a b c d e f"), (9, rows[3][1]), (None, "a b c d e f"), (None, None), (7, "")], key=str)
 
 
+def test_keep_one_of_ids_with_different_texts(spark):
+    near = [" ".join(f"w{i}" for i in range(k, 60 + k)) for k in (0, 1)]
+    rows = [
+        (3, near[0], "a"), (5, near[1], "b"), (5, "text that stands for two other rows", "c"), (9, "text that stands for two other rows", "d"),
+        (7, "first of two texts without a near one", "e"), (7, "second of two texts and no near one", "f"), (7, None, "g"), (7, "", "h"),
+        (8, near[1] + " end", "i"), (8, "the last text of all is kept", "j"), (11, "the same id with near texts " + near[0].upper(), "k"), (11, "the same id with near texts " + near[0].upper() + " z", "l"),
+    ]
+    for part in (1, 5):
+        kept = {r.tag for r in jaccard.keep_one(spark.createDataFrame(rows * 2, "doc_id long, text string, tag string").repartition(part)).collect()}
+        assert kept - {"k", "l"} == set("acefghj") and len(kept & {"k", "l"}) == 1
+
+
 def test_pruning_bounds():
     assert jaccard.least_matches(16, 0.8, 1e-8) < 16 * 0.4
     assert jaccard.least_matches(128, 0.8, 1e-8) > 128 * 0.5
