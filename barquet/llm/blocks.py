@@ -8,11 +8,16 @@ every occurrence through a shuffle would cost many times the input. Instead
 2. each bucket resolves the keys of all blocks together and answers each block with one row;
 3. the block itself, packed, meets its answers and is finished there.
 
-A key leaves a block once, however frequent it is, so no bucket is hot. A block and bucket without common keys have no
-row, so there are never more rows than keys; larger blocks and buckets (as the executors' memory allows) mean fewer
-rows. Blocks are made twice, for 1 and for 3. They are named by a hash of their content, and a block that doesn't get an
+A key leaves a block once, however frequent it is, so no bucket is hot. Buckets get more as the input grows, so that one
+fits a task's memory; they are dealt to a bounded number of partitions, and a task resolves its buckets one after the
+other. A block sends rows only for the buckets that it has keys for, so there are never more rows than keys, whatever
+the number of buckets; larger blocks and buckets (as the executors' memory allows) mean fewer rows.
+
+Blocks are made twice, for 1 and for 3. They are named by a hash of their content, and a block that doesn't get an
 answer for each of its keys is an error, so that rows read in another order the second time can never give wrong
-results: ``docs`` should be a table that is read, or a checkpoint.
+results: ``docs`` should be a table that is read, or a checkpoint. How Spark splits the files of a table depends on the
+cores it has got so far unless ``spark.sql.files.minPartitionNum`` is set; ``plan`` sets it where it isn't, so that
+executors that come or go between the two reads change nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +39,10 @@ from barquet.llm import tokens
 BLOCK_BYTES = 16 << 20  #: bytes of text in a block, but for a longer single text
 BUCKET_BYTES = 8 << 20  #: bytes of text for each bucket
 LEAST_BUCKETS = 12
+MOST_PARTITIONS = 8192
 PACKED = "block long, bucket int, body binary"
 ITSELF = -1  #: stands as bucket of the packed block
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
 
 @dataclass(frozen=True)
@@ -42,9 +50,20 @@ class Plan:
     blocks: int
     buckets: int
 
+    @property
+    def bucket_partitions(self) -> int:
+        return min(self.buckets, MOST_PARTITIONS)
+
+    @property
+    def block_partitions(self) -> int:
+        return min(2 * self.blocks, MOST_PARTITIONS)
+
 
 def plan(docs: DataFrame, text: str) -> Plan:
     """Numbers of blocks and buckets for these texts."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.lit(0))).first()[0]
     return Plan(max(1, -(-size // BLOCK_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
@@ -87,19 +106,54 @@ def pack(docs: DataFrame, text: str) -> DataFrame:
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write_batch(rows)
-            yield rows_of([(name, ITSELF, out.getvalue().to_pybytes())], ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "body")))
+            yield rows_of([(name, ITSELF, out.getvalue().to_pybytes())], PACKED)
 
     return docs.mapInArrow(run, PACKED)
 
 
-def rows_of(rows: list[tuple], columns: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (t, _) in zip(zip(*rows, strict=True), columns, strict=True)], [n for _, n in columns])
+def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of the columns of a schema such as ``PACKED``."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, KINDS[t]) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key (64 bits): even ranges of its upper half."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket that some of the sorted keys fall into, and where its run is among them."""
+    of = bucket_of(keys, buckets)
+    starts = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets))) if len(of) else np.zeros(0, int)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=False):
+        yield int(of[a]), slice(a, b)
+
+
+def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts (exact up to 2**53)."""
+    distinct, place = np.unique(joined(keys, np.uint64), return_inverse=True)
+    return distinct, np.bincount(place, weights=joined(counts, np.float64), minlength=len(distinct)).astype(np.uint64)
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Compress whole numbers by their bytes of equal weight: small ones, and gaps of sorted ones, take little."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's run begins among sorted keys (and their end): even ranges of the hash."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def expand(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys, compressed."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_gaps(body: bytes) -> np.ndarray:
+    return np.cumsum(expand(body), dtype=np.uint64)
 
 
 def fits(right: bool) -> None:
@@ -112,6 +166,23 @@ def joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
+def answer(asked: DataFrame, p: Plan, resolve: Callable[[list[dict]], list[tuple]], schema: str = PACKED) -> DataFrame:
+    """``resolve(rows of a bucket, by block)`` for every bucket; one bucket at a time is in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield rows_of(resolve(held), schema)
+                    held = []
+                held.append(row)
+        if held:
+            yield rows_of(resolve(held), schema)
+
+    return asked.repartition(p.bucket_partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+
+
 def finish(
     docs: DataFrame,
     answers: DataFrame,
@@ -142,4 +213,4 @@ def finish(
         yield from solved()
 
     both = pack(docs, text).unionByName(answers.select("block", "bucket", "body"))
-    return both.repartition(2 * p.blocks, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
+    return both.repartition(p.block_partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)

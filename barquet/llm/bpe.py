@@ -75,32 +75,30 @@ def ask(docs: DataFrame, text: str, p: blocks.Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in blocks.cut(batches, text):
             keys, words = _distinct(rows, text)
-            at = blocks.bucket_cuts(keys, p.buckets)
-            lists = [(name, k, b"\n".join(words[a:b]).decode("utf-8", "replace")) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-            if lists:
-                yield blocks.rows_of(lists, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.string(), "words")))
+            for k, run_of in blocks.runs(keys, p.buckets):
+                yield blocks.rows_of([(name, k, b"\n".join(words[run_of]).decode("utf-8", "replace"))], ASKED)
 
     return docs.mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame, definition: str) -> DataFrame:
+def answer(asked: DataFrame, definition: str, p: blocks.Plan) -> DataFrame:
     """Encode each distinct word of a bucket once, and answer each block with its words' ids in the order asked."""
 
-    def resolve(group: pa.Table) -> pa.Table:
+    def resolve(rows: list[dict]) -> list[tuple]:
         known: dict[str, list[int]] = {}
         out = []
         packer = zstandard.ZstdCompressor()
-        for block, bucket, words in zip(*(group[c].to_pylist() for c in ("block", "bucket", "words")), strict=True):
-            words = words.split("\n")
+        for row in rows:
+            words = row["words"].split("\n")
             new = [w for w in words if w not in known]
             known.update(zip(new, _encode(new, definition), strict=True))
             ids = [known[w] for w in words]
             counts = np.array([len(x) for x in ids], np.uint32)
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            out.append((block, bucket, packer.compress(len(counts).to_bytes(8, "little") + counts.tobytes() + flat.tobytes())))
-        return pa.Table.from_batches([blocks.rows_of(out, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "body")))])
+            out.append((row["block"], row["bucket"], packer.compress(len(counts).to_bytes(8, "little") + counts.tobytes() + flat.tobytes())))
+        return out
 
-    return asked.groupBy("bucket").applyInArrow(resolve, blocks.PACKED)
+    return blocks.answer(asked, p, resolve)
 
 
 def _read_answer(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +120,7 @@ def encode(docs: DataFrame, definition: str, keep: list[str] | None = None, text
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
     p = blocks.plan(docs, text)
-    answers = answer(ask(source.select("__text"), "__text", p), definition)
+    answers = answer(ask(source.select("__text"), "__text", p), definition, p)
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
     schema = T.StructType([*(source.schema[c] for c in keep), *(T.StructField(c, kinds[c]) for c in outputs)])
 

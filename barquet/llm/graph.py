@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.session import use_checkpoints
+from barquet.session import scratch
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -18,8 +16,7 @@ def written(frame: DataFrame) -> DataFrame:
     numbers of digits multiply each round until they fill the driver's memory.
     """
     spark = frame.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

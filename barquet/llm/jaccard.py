@@ -8,12 +8,13 @@ links.
    ``n - ceil(threshold * n) + 1`` shingles, so no link is lost. Blocks of texts look up these frequencies
    (``blocks``), which count all shingles of all texts by 40 bits of their hash; any fixed order would be right,
    this one keeps shared passages out of the prefixes, and a shingle that only one text has needs no partner.
-   Classes that share such a shingle are connected, and each connected component is cut into blocks, so that large
-   components are spread over tasks, a pair of blocks each.
-3. Pruning: MinHash values of a pair are compared ``STEP`` at a time. With m of n equal and a uniform prior, the
+3. Cells: classes with the same first shingle that isn't theirs alone are a cell, or several if they are many or long.
+   Two cells are compared if a prefix shingle occurs in both; within them, the pairs that share one. So a class is sent
+   once for each cell that it may have a partner in, however many shingles it has in common with it.
+4. Pruning: MinHash values of a pair are compared ``STEP`` at a time. With m of n equal and a uniform prior, the
    posterior probability that the similarity reaches the threshold is that of at most m successes in n + 1 draws
    of chance ``threshold``; below ``TOLERANCE`` the pair is dropped.
-4. The rest is verified exactly. Pairs never leave their task: what goes on are sums and a spanning forest.
+5. The rest is verified exactly. Pairs never leave their task: what goes on are sums and a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,21 +24,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barquet.llm import blocks, tokens
-from barquet.llm.graph import components
-from barquet.session import use_checkpoints
+from barquet.llm.graph import components, written
 
 WORDS, THRESHOLD = 5, 0.8
 CUT_BITS = np.uint64(24)  #: of a shingle's hash, these don't count for its frequency
 HASHES, STEP, TOLERANCE = 128, 16, 1e-8
-BLOCK = 512  #: classes in a block
+BLOCK, CELL_SHINGLES = 512, 1 << 19  #: classes, and shingles of all of them, in a cell, at about
 PAIRS = 100_000  #: pairs that are compared at a time
-READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("shingle", T.LongType())])
+COLUMNS = 2048  #: shingles whose owners are marked at a time
+HOT = 1000  #: keys that have more than one in so many of all rows are joined apart; there can't be more of them than this
+READ = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("key", T.LongType()),  #: of the set
+        T.StructField("n", T.IntegerType()),  #: shingles of the set
+        T.StructField("mark", T.LongType()),  #: first shingle of the prefix that others have too
+        T.StructField("shared", T.IntegerType()),  #: number of such shingles; they stand first in ``body``
+        T.StructField("body", T.BinaryType()),  #: the set, once for each class of a block
+    ]
+)
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,76 +92,40 @@ def set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Compress whole numbers by their bytes of equal weight: small ones, and gaps of sorted ones, take little."""
-    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _expand(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-
-
 def _ask(rows: DataFrame, words: int, p: blocks.Plan) -> DataFrame:
-    """Each block's distinct shingles (40 bits, sorted, as gaps) by bucket, and how many of its texts have them."""
+    """Each block's distinct shingles (40 bits) by bucket, and how many of its texts have them."""
+    schema = "block long, bucket int, shingles binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block in blocks.cut(batches, "text"):
             found = [np.unique(shingles(part["text"], words)[0] >> CUT_BITS, return_counts=True) for part in tokens.slices(block, "text")]
-            keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([n for _, n in found]), len(keys)).astype(np.uint64)
-            at = blocks.bucket_cuts(keys << CUT_BITS, p.buckets)
-            for k in range(p.buckets):
-                part = slice(at[k], at[k + 1])
-                if at[k] == at[k + 1]:
-                    continue
-                row = (name, k, _squeeze(np.diff(keys[part], prepend=np.uint64(0))), _squeeze(counts[part]))
-                yield blocks.rows_of([row], ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "gaps"), (pa.binary(), "counts")))
+            keys, counts = blocks.counted(*zip(*found, strict=True))
+            for k, part in blocks.runs(keys << CUT_BITS, p.buckets):
+                yield blocks.rows_of([(name, k, blocks.gaps(keys[part]), blocks.squeeze(counts[part]))], schema)
 
-    return rows.mapInArrow(run, "block long, bucket int, gaps binary, counts binary")
+    return rows.mapInArrow(run, schema)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
+def _answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
     """How many texts have each shingle, to each block in the order asked."""
 
-    def resolve(group: pa.Table) -> pa.Table:
-        lists = [np.cumsum(_expand(x), dtype=np.uint64) for x in group["gaps"].to_pylist()]
-        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, np.concatenate([_expand(x) for x in group["counts"].to_pylist()]), len(keys)).astype(np.uint64)
-        bodies = [_squeeze(total[np.searchsorted(keys, x)]) for x in lists]
-        out = list(zip(group["block"].to_pylist(), group["bucket"].to_pylist(), bodies, strict=True))
-        return pa.Table.from_batches([blocks.rows_of(out, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "body")))])
-
-    return asked.groupBy("bucket").applyInArrow(resolve, blocks.PACKED)
+    def resolve(rows: list[dict]) -> list[tuple]:
+        lists = [blocks.from_gaps(r["shingles"]) for r in rows]
+        keys, total = blocks.counted(lists, [blocks.expand(r["counts"]) for r in rows])
+        return [(r["block"], r["bucket"], blocks.squeeze(total[np.searchsorted(keys, x)])) for r, x in zip(rows, lists, strict=True)]
 
-
-def _tied(shingle: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, class) rows of a block, in which no shingle is repeated for many classes.
-
-    Classes that share a shingle are joined here already: only the smallest goes on for it, and each other is tied
-    to that one by a shingle of their own. So a common shingle leaves a block once.
-    """
-    order = np.lexsort((key, shingle))
-    shingle, key = shingle[order], key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = shingle[1:] != shingle[:-1]
-    least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
-    other = np.flatnonzero(key != least)
-    edges = np.unique(np.stack([key[other], least[other]]), axis=1)
-    own = tokens.combine(edges[0].view(np.uint64), edges[1].view(np.uint64))
-    return np.concatenate([shingle[first], own, own]), np.concatenate([key[first], edges[0], edges[1]])
+    return blocks.answer(asked, p, resolve)
 
 
 def _solve(words: int, threshold: float):
-    """For a block: key and size of each text's set, and (shingle, class) for the prefixes, less what only one text has."""
+    """For a block: key and size of each text's set, and for classes whose prefix has a shingle of others their sets."""
 
     def solve(block: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
-        frequency = blocks.joined([_expand(x) for x in got], np.uint64)
+        frequency = blocks.joined([blocks.expand(x) for x in got], np.uint64)
         parts = [(part, *shingles(part["text"], words)) for part in tokens.slices(block, "text")]
         known, place = np.unique(np.concatenate([v for _, v, _ in parts]) >> CUT_BITS, return_inverse=True)
         blocks.fits(len(known) == len(frequency))
-        posts, done = [], 0
+        done, seen = 0, np.zeros(0, np.int64)
         for part, values, sizes in parts:
             keys, n = set_keys(values, sizes), part.num_rows
             often = frequency[place[done : done + len(values)]]
@@ -160,17 +134,22 @@ def _solve(words: int, threshold: float):
             # What only one text has comes first in the order and is left out; the rest of the prefix, if any, is sorted.
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
             left = prefix - np.bincount(texts[often < 2], minlength=n)
-            left[~part["doc_id"].is_valid().to_numpy(zero_copy_only=False)] = 0
-            at = np.flatnonzero((often > 1) & (left[texts] > 0))
-            at = at[np.lexsort((values[at], often[at], texts[at]))]
-            kept = at[np.arange(len(at)) - np.searchsorted(texts[at], texts[at]) < left[texts[at]]]
-            posts.append((values[kept], keys[texts[kept]]))
-            columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "shingle"])
-        shingle, key = _tied(*(np.concatenate(x) for x in zip(*posts, strict=True)))
-        n = len(key)
-        columns = [pa.nulls(n, pa.int64()), pa.array(key), pa.nulls(n, pa.int32()), pa.array(shingle.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "shingle"])
+            usable = part["doc_id"].is_valid().to_numpy(zero_copy_only=False) & (sizes > 0) & ~np.isin(keys, seen)
+            left[~usable] = 0
+            mine = np.flatnonzero(left > 0)
+            mine = mine[np.unique(keys[mine], return_index=True)[1]]
+            seen = np.concatenate([seen, keys[mine]])
+            begin = np.cumsum(sizes) - sizes
+            mark, shared, bodies = np.zeros(n, np.int64), np.zeros(n, np.int32), [None] * n
+            for i in mine.tolist():
+                own, times = values[begin[i] : begin[i] + sizes[i]], often[begin[i] : begin[i] + sizes[i]]
+                order = np.lexsort((own, times, times < 2))
+                mark[i], shared[i] = own[order[0]].view(np.int64), left[i]
+                bodies[i] = own[order].tobytes()
+            none = np.ones(n, bool)
+            none[mine] = False
+            columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.array(mark, mask=none), pa.array(shared, mask=none), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, READ.names)
 
     return solve
 
@@ -236,54 +215,54 @@ def similar(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.n
     return out
 
 
-def _sets(words: int):
-    """The sets of the texts that stand for a class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                values, sizes = shingles(part["text"], words)
-                keys, stops = set_keys(values, sizes), np.cumsum(sizes)
-                mine = np.flatnonzero((keys == part["key"].to_numpy()) & (sizes > 0))
-                bodies = [values[stops[i] - sizes[i] : stops[i]].tobytes() for i in mine]
-                kept = part.take(pa.array(mine))
-                yield pa.RecordBatch.from_arrays([*(kept[c] for c in ("root", "blocks", "key", "copies")), pa.array(bodies, pa.binary())], ["root", "blocks", "key", "copies", "body"])
-
-    return run
+def sharing(unit: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Which of the n sets (rows and columns) of one unit have one of these values in common."""
+    order = np.lexsort((owner, values, unit[owner]))
+    values, owner = values[order], owner[order]
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (unit[owner[1:]] != unit[owner[:-1]])
+    starts = np.flatnonzero(first)
+    # Values with the same owners say the same: one of them is enough, and those with a single owner say nothing.
+    with np.errstate(over="ignore"):
+        owners = np.add.reduceat(tokens.mix64(owner.astype(np.uint64) + np.uint64(1)), starts)
+    sizes = np.diff(starts, append=len(values))
+    column = np.unique(owners[sizes > 1], return_index=True)[1]
+    starts, sizes = starts[sizes > 1][column], sizes[sizes > 1][column]
+    out = np.zeros((n, n), bool)
+    for a in range(0, len(starts), COLUMNS):
+        size = sizes[a : a + COLUMNS]
+        stops = np.cumsum(size)
+        at = np.repeat(starts[a : a + COLUMNS] - (stops - size), size) + np.arange(stops[-1])
+        marks = np.zeros((n, len(size)), np.float32)
+        marks[owner[at], np.repeat(np.arange(len(size)), size)] = 1
+        out |= (marks @ marks.T) > 0
+    return out
 
 
 FOUND = "key long, links long, linked long, into long"
+UNIT = "i long, j long, cell long, key long, copies long, shared int, body binary"
 
 
 def _compare(threshold: float):
-    """Links within each (component, block pair): by class their number, the texts at their other ends, and a smaller
-    class that it is connected with by links, if any."""
+    """Links within each pair of cells: by class their number, the texts at their other ends, and a smaller class that
+    it is connected with by links, if any."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch | None:
-        """rows: (unit, the block is the first, it is paired with itself, key, copies, set) of whole units."""
-        unit, first, same, keys, copies, bodies = zip(*rows, strict=True)
+        """rows: (unit, it is in the first cell, that is the only one, key, copies, shared, set) of whole units."""
+        unit, first, same, keys, copies, shared, bodies = zip(*rows, strict=True)
         unit, first, same = np.array(unit), np.array(first), np.array(same)
-        keys, copies = np.array(keys, np.int64), np.array(copies, np.int64)
+        keys, copies, shared = np.array(keys, np.int64), np.array(copies, np.int64), np.array(shared, np.int64)
         values = np.concatenate([np.frombuffer(b, np.uint64) for b in bodies])
         sizes = np.array([len(b) // 8 for b in bodies])
-        pairs = []
-        cuts = np.flatnonzero(np.diff(unit, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if same[a]:
-                i, j = np.triu_indices(b - a, 1)
-            else:
-                one = np.flatnonzero(first[a:b])
-                two = np.flatnonzero(~first[a:b])
-                i, j = np.repeat(one, len(two)), np.tile(two, len(one))
-            pairs.append((i + a, j + a))
-        left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        new = keys[left] != keys[right]  # a class that comes twice has no link to itself
-        left, right = left[new], right[new]
+        begin, stops, n = np.cumsum(sizes) - sizes, np.cumsum(shared), len(keys)
+        at = np.repeat(begin - (stops - shared), shared) + np.arange(stops[-1])
+        left, right = np.nonzero(np.triu(sharing(unit, values[at], np.repeat(np.arange(n), shared), n), 1))
+        across = same[left] | (first[left] != first[right])  # pairs within one of two cells are another unit's
+        left, right = left[across], right[across]
         hit = similar(values, sizes, left, right, threshold)
         left, right = left[hit], right[hit]
         if not len(left):
             return None
-        n = len(keys)
         number = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
         linked = np.bincount(left, copies[right], n) + np.bincount(right, copies[left], n)
         into = keys.copy()
@@ -298,21 +277,18 @@ def _compare(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(number[at]), pa.array(linked[at].astype(np.int64)), pa.array(into[at])], ["key", "links", "linked", "into"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, unit, last, seen = [], 0, 0, None, set()
+        held, size, unit, last = [], 0, 0, None
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("root", "i", "j", "block", "key", "copies", "body")]
-            for root, i, j, block, key, copies, body in zip(*columns, strict=True):
-                if (root, i, j) != last:
+            columns = [batch[c].to_pylist() for c in ("i", "j", "cell", "key", "copies", "shared", "body")]
+            for i, j, cell, key, copies, shared, body in zip(*columns, strict=True):
+                if (i, j) != last:
                     if size > tokens.SLICE_BYTES or len(held) > BLOCK:
                         out = links(held)
                         if out is not None:
                             yield out
                         held, size = [], 0
-                    last, unit, seen = (root, i, j), unit + 1, set()
-                if key in seen:
-                    continue
-                seen.add(key)
-                held.append((unit, block == i, i == j, key, copies, body))
+                    last, unit = (i, j), unit + 1
+                held.append((unit, cell == i, i == j, key, copies, shared, body))
                 size += len(body)
         if held:
             out = links(held)
@@ -322,6 +298,55 @@ def _compare(threshold: float):
     return run
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, cell) of the shared prefix of each set, each pair once a batch."""
+    for batch in batches:
+        bodies, shared, cells = batch["body"].to_pylist(), batch["shared"].to_numpy(), batch["cell"].to_numpy()
+        pairs = np.stack([np.concatenate([np.frombuffer(b, np.int64, s) for b, s in zip(bodies, shared, strict=True)]), np.repeat(cells, shared)])
+        pairs = pairs[:, np.lexsort(pairs)]
+        fresh = np.ones(pairs.shape[1], bool)
+        fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0][fresh]), pa.array(pairs[1][fresh])], ["shingle", "cell"])
+
+
+def attach(left: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` with the columns of ``facts`` (unique by ``key``; ``weight`` is how many rows of ``left`` have the key, of
+    ``total``), null where there are none.
+
+    Keys of more than ``total / HOT`` rows are at most ``HOT``, so they are broadcast; their rows and those of null key
+    are then spread, and no task of the join gets more than that share of the rows for a key.
+    """
+    most = max(1, total // HOT)
+    names = [c for c in facts.columns if c != key]
+    fact = F.struct(*names)
+    hot = F.broadcast(facts.where(F.col(weight) > most).select(F.col(key), fact.alias("__hot")))
+    cold = facts.where(F.col(weight) <= most).select(F.col(key).alias("__key"), fact.alias("__cold"))
+    met = left.join(hot, key, "left").withColumn("__own", F.when(F.col("__hot").isNull(), F.col(key)))
+    met = met.withColumn("__at", F.coalesce("__own", F.monotonically_increasing_id()))
+    met = met.join(cold, F.col("__at") == F.col("__key"), "left")
+    found = F.coalesce("__hot", F.when(F.col("__own").isNotNull(), F.col("__cold")))
+    return met.withColumn("__found", found).select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in names))
+
+
+def _cells(near: DataFrame) -> DataFrame:
+    """The cell of each class."""
+    counts = near.groupBy("mark").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
+    large = counts.select("mark", "classes", parts.alias("parts")).where("parts > 1")
+    salt = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1).cast("long")))
+    return attach(near, large, "mark", "classes", near.count()).select("key", "copies", F.xxhash64("mark", salt).alias("cell"))
+
+
+def _cell_pairs(sets: DataFrame) -> DataFrame:
+    """The pairs of cells that have a prefix shingle in common: ``i, j`` with i <= j, and each cell with itself."""
+    posts = sets.select("cell", "shared", "body").mapInArrow(_prefixes, "shingle long, cell long")
+    # Shingles that the same cells have give the same pairs.
+    meet = posts.groupBy("shingle").agg(F.array_sort(F.collect_set("cell")).alias("cells")).where(F.size("cells") > 1).select("cells").distinct()
+    left = meet.select("cells", F.posexplode("cells").alias("at", "i"))
+    pairs = left.select("i", F.explode(F.expr("slice(cells, at + 2, size(cells))")).alias("j"))
+    return pairs.unionByName(sets.groupBy("cell").count().where("count > 1").select(F.col("cell").alias("i"), F.col("cell").alias("j"))).distinct()
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id, class_id, group_id, n_links, n_shingles``.
 
@@ -331,36 +356,31 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     repeated rows are copies of each other; texts of fewer than ``words`` words are one shingle. Two different sets
     are taken for equal if their 64-bit keys are.
 
-    The rows of ``docs`` are read three times. A class goes through every shuffle once however many copies it has.
+    The rows of ``docs`` are read three times (sizes, frequencies, sets). A class goes through every shuffle once for
+    each block of texts it is in or cell it meets, however many copies it has.
     """
-    use_checkpoints(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     p = blocks.plan(rows, "text")
-    read = blocks.finish(rows, _answer(_ask(rows, words, p)), "text", p, _solve(words, threshold), READ).checkpoint()
-    ids = read.where("shingle is null").select("doc_id", "key", "n")
-    posts = read.where("shingle is not null").select("shingle", "key")
-    named = rows.where("doc_id is not null and text is not null")
-    least = posts.withColumn("least", F.expr("min(key) over (partition by shingle)"))
-    near = components(least.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
-
-    classes = ids.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).checkpoint()
-    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = near.withColumnRenamed("node", "key").join(sizes, "root").join(classes, "key").select(F.col("class_id").alias("doc_id"), "key", "root", "blocks", "copies")
-    sets = named.join(members, "doc_id").select("text", "key", "root", "blocks", "copies").mapInArrow(_sets(words), "root long, blocks int, key long, copies long, body binary")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = sets.withColumn("block", block).withColumn("other", other)
-    units = units.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "body")
-    found = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compare(threshold), FOUND).checkpoint()
+    read = written(blocks.finish(rows, _answer(_ask(rows, words, p), p), "text", p, _solve(words, threshold), READ))
+    ids = read.select("doc_id", "key", "n")
+    own = read.where("key is not null and doc_id is not null")
+    classes = written(own.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("mark").alias("mark")))
+    of_class = read.where("body is not null").groupBy("key").agg(F.first("shared").alias("shared"), F.first("body").alias("body"))
+    sets = written(_cells(classes.where("mark is not null")).join(of_class, "key"))
+    pairs = written(_cell_pairs(sets))
+    met = pairs.select("i", "j", F.col("i").alias("cell")).unionByName(pairs.where("i <> j").select("i", "j", F.col("j").alias("cell")))
+    units = sets.join(met, "cell").select(*(c.split()[0] for c in UNIT.split(", ")))
+    found = written(units.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_compare(threshold), FOUND))
 
     groups = components(found.select(F.col("key").alias("a"), F.col("into").alias("b")))
     sums = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     smallest = groups.withColumnRenamed("node", "key").join(classes, "key").groupBy("root").agg(F.min("class_id").alias("group_id"))
     of_key = groups.join(smallest, "root").select(F.col("node").alias("key"), "group_id")
-    facts = classes.join(sums, "key", "left").join(of_key, "key", "left")
+    facts = classes.select("key", "class_id", "copies").join(sums, "key", "left").join(of_key, "key", "left").where("copies > 1 or linked > 0")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     own = F.col("doc_id")
     known = own.isNotNull() & F.col("copies").isNotNull()
-    return ids.join(facts, "key", "left").select(
+    return attach(ids, written(facts), "key", "copies", total).select(
         "doc_id",
         F.when(known, F.col("class_id")).otherwise(own).alias("class_id"),
         F.when(known, F.coalesce("group_id", "class_id")).otherwise(own).alias("group_id"),
@@ -374,12 +394,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     same one in every run.
 
     A row is its id and its text: rows that repeat an id with another text are judged each on its own. Rows without
-    id stay. No row is lost but those that another row of their group, or an equal row, stands for.
+    id, and rows without words, stay. No row is lost but those that another row of their group, or an equal row, stands
+    for.
     """
     own = F.col(f"`{doc_id}`")
     named = docs.where(own.isNotNull()).withColumn("__row", F.xxhash64(own, F.col(f"`{text}`")))
-    member = join(named, "__row", text).where("n_links > 0").select(F.col("doc_id").alias("__row"), "group_id").distinct().checkpoint()
+    linked = join(named, "__row", text).where("n_links > 0")
+    member = written(linked.groupBy(F.col("doc_id").alias("__row")).agg(F.min("group_id").alias("group_id"), F.count("*").alias("times")))
     first = member.join(named.select("__row", own.alias("__id")), "__row").groupBy("group_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
-    left = named.join(member.join(first, "__row", "left_anti"), "__row", "left_anti")
-    nth = F.expr(f"row_number() over (partition by __row order by `{text}`)")
-    return left.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns).unionByName(docs.where(own.isNull()))
+    fate = written(member.join(first.select("__row", F.lit(True).alias("first")), "__row", "left"))
+    left = named.join(fate.where("first is null"), "__row", "left_anti")
+    twice = fate.where("first and times > 1").select("__row")
+    if not twice.isEmpty():
+        again = left.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
+        left = left.join(twice, "__row", "left_anti").unionByName(again)
+    return left.select(*docs.columns).unionByName(docs.where(own.isNull()))

@@ -21,13 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barquet.llm import blocks, tokens
-from barquet.session import use_checkpoints
+from barquet.llm.graph import written
 
 #: Weight of the shorter context against the counts of the longer one.
 DIRICHLET = 64.0
@@ -59,20 +58,6 @@ def _pairs(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens.combine(stream[at - 1], stream[at]), at
 
 
-def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint32)
-
-
-def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
-
-
-def _unzip(body: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), kind)
-
-
 def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
     """Each block's distinct words and pairs by bucket, with how often its training texts have them."""
 
@@ -84,38 +69,35 @@ def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
                 learn = np.repeat(part[train].to_numpy(zero_copy_only=False), sizes)
                 pairs, at = _pairs(stream, sizes)
                 for (keys, counts), k, n in zip(found, (stream, pairs), (learn, learn[at]), strict=True):
-                    k, n = _counted([k], [n])
+                    k, n = blocks.counted([k], [n])
                     keys.append(k)
                     counts.append(n)
-            (words, n_words), (pairs, n_pairs) = (_counted(*f) for f in found)
-            a, b = blocks.bucket_cuts(words, p.buckets), blocks.bucket_cuts(pairs, p.buckets)
-            for k in range(p.buckets):
-                w, v = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
-                if a[k] == a[k + 1] and b[k] == b[k + 1]:
-                    continue
-                row = (name, k, words[w].tobytes(), _zip(n_words[w]), pairs[v].tobytes(), _zip(n_pairs[v]))
-                yield blocks.rows_of([row], ((pa.int64(), "block"), (pa.int32(), "bucket"), *((pa.binary(), c) for c in ("words", "word_counts", "pairs", "pair_counts"))))
+            (words, n_words), (pairs, n_pairs) = (blocks.counted(*f) for f in found)
+            none = slice(0, 0)
+            w_runs, v_runs = dict(blocks.runs(words, p.buckets)), dict(blocks.runs(pairs, p.buckets))
+            for k in sorted({*w_runs, *v_runs}):
+                w, v = w_runs.get(k, none), v_runs.get(k, none)
+                yield blocks.rows_of([(name, k, blocks.gaps(words[w]), blocks.squeeze(n_words[w]), blocks.gaps(pairs[v]), blocks.squeeze(n_pairs[v]))], ASKED)
 
     return docs.mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame) -> DataFrame:
+def answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
     """Total counts, to each block in the order asked: ``body``; each bucket's training tokens and distinct ones: ``n, v``."""
 
-    def resolve(group: pa.Table) -> pa.Table:
+    def resolve(rows: list[dict]) -> list[tuple]:
         totals, columns = [], []
         for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-            lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in group[keys]]
-            distinct, total = _counted(lists, [_unzip(x.as_py(), np.uint32) for x in group[counts]])
+            lists = [blocks.from_gaps(r[keys]) for r in rows]
+            distinct, total = blocks.counted(lists, [blocks.expand(r[counts]) for r in rows])
             columns.append([total[np.searchsorted(distinct, k)] for k in lists])
             totals.append(total)
-        bodies = [len(w).to_bytes(8, "little") + _zip(np.concatenate([w, v])) for w, v in zip(*columns, strict=True)]
-        n, v = int(totals[0].sum(dtype=np.int64)), int((totals[0] > 0).sum())
+        bodies = [len(w).to_bytes(8, "little") + blocks.squeeze(np.concatenate([w, v])) for w, v in zip(*columns, strict=True)]
+        n, v = int(totals[0].sum()), int((totals[0] > 0).sum())
         first = [1] + [0] * (len(bodies) - 1)  # a bucket's totals stand in one of its rows
-        rows = list(zip(group["block"].to_pylist(), group["bucket"].to_pylist(), bodies, [n * f for f in first], [v * f for f in first], strict=True))
-        return pa.Table.from_batches([blocks.rows_of(rows, ((pa.int64(), "block"), (pa.int32(), "bucket"), (pa.binary(), "body"), (pa.int64(), "n"), (pa.int64(), "v")))])
+        return [(r["block"], r["bucket"], body, n * f, v * f) for r, body, f in zip(rows, bodies, first, strict=True)]
 
-    return asked.groupBy("bucket").applyInArrow(resolve, blocks.PACKED + ", n long, v long")
+    return blocks.answer(asked, p, resolve, blocks.PACKED + ", n long, v long")
 
 
 @dataclass
@@ -129,7 +111,8 @@ class Automaton:
 
     @classmethod
     def compile(cls, words: np.ndarray, pairs: np.ndarray, first: np.ndarray, second: np.ndarray, n: int, v: int) -> Automaton:
-        """From the counts of words and pairs, and the words that each pair consists of."""
+        """From the counts of words and pairs, and the words that each pair consists of. Counts are exact up to 2**53."""
+        words, pairs = words.astype(np.float64), pairs.astype(np.float64)
         p = (words + 1.0) / (n + v + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             arc = np.where(pairs > 0, np.log10((pairs + DIRICHLET * p[second]) / (words[first] + DIRICHLET)), np.nan)
@@ -169,18 +152,17 @@ def score(docs: DataFrame, train: str = "train", keep: list[str] | None = None,
     Defined cases: null text is empty text, which is just its end; null ``train`` is false; without training texts
     every token has probability 1; columns of ``keep`` named like a result are replaced.
     """
-    use_checkpoints(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
     p = blocks.plan(docs, text)
     learn = docs.select(F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("__train"))
-    answers = answer(ask(learn, "__text", "__train", p)).checkpoint()
+    answers = written(answer(ask(learn, "__text", "__train", p), p))
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*(source.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(MADE, kinds, strict=True))])
 
     def solve(rows: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
-        halves = [(int.from_bytes(b[:8], "little"), _unzip(b[8:], np.uint32)) for b in got]
+        halves = [(int.from_bytes(b[:8], "little"), blocks.expand(b[8:])) for b in got]
         n_words = np.concatenate([x[:k] for k, x in halves])
         n_pairs = np.concatenate([x[k:] for k, x in halves])
         parts = [(part, *_stream(part, "__text")) for part in tokens.slices(rows, "__text")]

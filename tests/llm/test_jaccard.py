@@ -70,6 +70,7 @@ def test_defined_cases(spark):
 
 def test_blocks_of_large_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COLUMNS", 3)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(100)]
     rows = []
