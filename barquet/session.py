@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,18 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; it is then already in use. Only where
-    that is unset (tests) is a local folder taken.
+    that is unset, and the session is a local one (tests), is a local folder taken.
     """
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barquet-"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table that is gone when the application ends."""
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
