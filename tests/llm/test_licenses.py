@@ -1,6 +1,9 @@
-"""License scans on planted notices."""
+"""License scans on planted notices, and against a comparison of every template at every place."""
 
+import random
+import re
 import textwrap
+import time
 from collections import Counter
 
 from barquet.llm import licenses as L
@@ -43,10 +46,63 @@ def test_planted_lines(spark):
 
 
 def test_many_notices_in_one_block(spark):
-    names = {name for name, _ in L.TEMPLATES}
+    names = Counter(name for name, _ in L.TEMPLATES)
     lists = ["\n".join(t for _, t in L.TEMPLATES), "\n\n".join(f"* package {i}: {t}" for i, (_, t) in enumerate(reversed(L.TEMPLATES))), " ".join(t for _, t in L.TEMPLATES)]
     got = L.scan(spark.createDataFrame(list(enumerate(lists)), "doc_id int, text string")).collect()
-    assert Counter((r.doc_id, r.license) for r in got if r.confirmed) == {(i, n): 1 for i in range(3) for n in names}
+    assert Counter((r.doc_id, r.license) for r in got if r.confirmed) == {(i, n): k for i in range(3) for n, k in names.items()}
+
+
+def test_every_template_has_a_trigger():
+    assert all(any(re.search(L.TRIGGER, w) for w in L.words(t)) for _, t in L.TEMPLATES)
+
+
+def everywhere(text):
+    """Every template at every word of the candidate blocks, whatever its gain."""
+    around = L.placed(text)
+    mine = [w for w, _, _ in around]
+    out = []
+    for reach, templates in L.classes():
+        for a, b in L.blocks(mine, reach):
+            for name, template in ((L.TEMPLATES[k][0], L.words(L.TEMPLATES[k][1])) for k in templates):
+                most = L.MOST_DIFFERENT * len(template)
+                for at in range(a, b):
+                    missing, extra, i, j = L.aligned(template, mine[at : min(b, at + len(template) + int(most) + 1)])
+                    if len(missing) + len(extra) <= most:
+                        out.append((5 * (len(missing) + len(extra)) - len(template), at + i, at + j, name, 0.0, missing, extra))
+    return sorted((around[i][1], around[j - 1][2], name) for _, i, j, name, *_ in L._apart(out))
+
+
+def test_every_template_at_every_place():
+    rng = random.Random(3)
+    short = [t for t in L.TEMPLATES if len(L.words(t[1])) < 60]
+    told = 0
+    for _ in range(12):
+        text = []
+        for _, t in rng.sample(short, 3):
+            text += rng.choices(["the", "of", "work", "under", "license", "a", "version"], k=rng.randrange(0, 6))
+            notice = t.split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                notice[rng.randrange(len(notice))] = rng.choice(["other", "words", "license"])
+            text += notice
+        text = rng.choice([" ", "\n"]).join(text)
+        got = sorted((a, b, name) for a, b, name, sure, *_ in L.licenses(text) if sure)
+        assert got == everywhere(text), text
+        told += len(got)
+    assert told > 15
+
+
+def test_long_texts():
+    """A trigger in every line, wording far from any line's end, and time that grows with the length."""
+    lines = "this line has the word license in it and some more words to read\n"
+    took = []
+    for n in (1000, 4000):
+        began = time.perf_counter()
+        assert [r for r in L.licenses(lines * n) if r[3]] == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+    mit = L.TEMPLATES[2][1]
+    one_line = "x " * 3000 + mit + " y" * 3000 + " " + mit.replace("Software", "Works", 1)
+    assert [(r[2], r[3]) for r in L.licenses(one_line)] == [("MIT", True)] * 2
 
 
 def test_wrapped_notices(spark):
