@@ -4,13 +4,14 @@ The inner product of a query is a sum over dimensions, and each dimension is a l
 their component: read from the top for a positive query component, from the bottom for a negative one, the entries'
 shares of the score only fall. Rounds read all lists to the same growing depth. What a candidate has been seen with
 gives its lower bound, together with the lists' far ends for the rest; the lists' current ends for the rest give
-its upper bound. The k-th lower bound so far (of this block or of blocks before it) is the bar: as soon as few
+its upper bound. The k-th score or lower bound so far (of this block or of blocks before it) is the bar: as soon as few
 candidates, and no unseen ones, have an upper bound that reaches it, their final scores are resolved and the best
-are kept.
+are kept. Blocks are short, so that a bar is there soon: a task's first block is read to the end, later ones to about two
+thirds.
 
-The depth of a round is the same for all queries, so a block's lists are read once for a whole batch of queries:
-the entries read so far are a matrix (candidates x ends of lists) that is zero where nothing has been read, and the
-bounds of all pairs come from products with it.
+The depth of a round is the same for all queries, so a block's lists are read once for all queries: the entries read so
+far, with the bounds in the place of those that aren't, are a matrix for each end of the lists, and the bounds of all
+pairs come from products with them.
 
 Rows are packed into chunks, and every query block meets every candidate group in one task of bounded memory, which
 streams the chunks: nothing is broadcast, and no key is hot. Each task sends k rows a query on.
@@ -26,21 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 4096  #: vectors of a packed row, and of a block of lists
+CHUNK = 4096  #: vectors of a packed row
+LISTED = 1024  #: candidates of a block of lists
 QUERIES = 65536  #: queries of a query block, at about
 GROUP = 16384  #: candidates of a group at least, at about
 MOST_GROUPS = 64
 BATCH = 256  #: queries whose bounds are kept at a time
-DEPTHS = (0.2, 0.45, 1.0)  #: share of each list that has been read after each round
-RESOLVED = 64  #: final scores are resolved once at most so many candidates a query are left, on average
-LARGEST = 1 << 31  #: components from here on can't be scored exactly
+DEPTHS = (0.6, 0.75, 1.0)  #: share of each list that has been read after each round
+RESOLVED = 64  #: final scores of a query are resolved once at most so many candidates are left
+NONE = -np.inf  #: the bar of a query that has none yet
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantized(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component; null for a vector that is null or has a null, non-finite or huge component."""
+    """floor(scale * x) of each component, no further than a long goes; null for a vector that is null or has a null or
+    non-finite component."""
     wide = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    x = lambda v: v.cast("double") * scale
-    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(x(v)) < LARGEST))
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     return F.when(fine, wide)
 
 
@@ -48,7 +51,7 @@ CHUNKS = "role int, part long, n int, dim int, ids binary, vectors binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (role, id, vector) to chunks of one role and dimension."""
+    """Rows (role, id, tag, vector) to chunks of one role and dimension."""
     task = TaskContext.get()
     serial = task.partitionId() if task else 0
     waiting: dict[tuple[int, int], list] = {}
@@ -56,14 +59,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk(role: int, dim: int, rows: list) -> pa.RecordBatch:
         nonlocal serial
         ids, vectors = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        top = np.abs(vectors).max(initial=0)
+        top = _largest(vectors)
         small = vectors.astype(np.int8 if top < 128 else np.int16 if top < 32768 else np.int64)
         serial += 1
-        values = (role, serial, len(ids), dim, ids.tobytes(), bytes([small.itemsize]) + small.tobytes())
+        values = (role, serial, len(ids), dim, np.ascontiguousarray(ids.T).tobytes(), bytes([small.itemsize]) + small.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["role", "part", "n", "dim", "ids", "vectors"])
 
     for batch in batches:
-        roles, ids, lists = batch["role"].to_numpy(), batch["id"].to_numpy(), batch["vector"]
+        roles, lists = batch["role"].to_numpy(), batch["vector"]
+        ids = np.stack([batch["id"].to_numpy(), batch["tag"].to_numpy()], axis=1)
         dims, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
         at = np.cumsum(dims) - dims
         for role, dim in {(int(r), int(d)) for r, d in zip(roles, dims, strict=True)}:
@@ -78,10 +82,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk(role, dim, held)
 
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, tags and vectors of a chunk."""
     kind = {1: np.int8, 2: np.int16, 8: np.int64}[vectors[0]]
-    n = len(ids) // 8
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind, n * dim, 1).reshape(n, dim).astype(np.int64)
+    n = len(ids) // 16
+    return *np.frombuffer(ids, np.int64).reshape(2, n), np.frombuffer(vectors, kind, n * dim, 1).reshape(n, dim).astype(np.int64)
+
+
+def _largest(vectors: np.ndarray) -> int:
+    """The largest absolute value."""
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
 
 
 class Lists:
@@ -91,29 +101,33 @@ class Lists:
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def read(self, depth: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """After reading ``depth`` entries from either end: values and marks of what has been read (candidates x top
-        ends, then bottom ends), and the value that the next entry at each end can't pass, and that at its far end."""
-        n, dim = self.vectors.shape
-        values, marks = np.zeros((n, 2 * dim), kind), np.zeros((n, 2 * dim), kind)
-        column = np.arange(dim)
-        top, bottom = self.order[n - depth :], self.order[:depth]
-        values[top, column], marks[top, column] = self.sorted[n - depth :], 1
-        values[bottom, column + dim], marks[bottom, column + dim] = self.sorted[:depth], 1
-        left = max(n - depth - 1, 0), min(depth, n - 1)
-        near = np.concatenate([self.sorted[left[0]], self.sorted[left[1]]])
-        far = np.concatenate([self.sorted[0], self.sorted[-1]])
-        return values, marks, near.astype(kind), far.astype(kind)
+        self.known: dict[tuple, np.ndarray] = {}
+        self.asked = self.entries = 0  #: entries of the lists for all queries so far, and how many of them were read
+
+    def read(self, depth: int, upper: bool, kind: type) -> np.ndarray:
+        """After reading ``depth`` entries from the top of each list, and from the bottom: for each candidate what has
+        been read, and the largest share (``upper``; else the smallest) that the rest can have."""
+        key = (depth, upper, kind)
+        if key not in self.known:
+            n, dim = self.vectors.shape
+            column = np.arange(dim)
+            near, far = (max(n - depth - 1, 0), min(depth, n - 1)), (0, n - 1)
+            ends = near if upper else far
+            made = np.empty((n, 2 * dim), kind)
+            made[:, :dim], made[:, dim:] = self.sorted[ends[0]], self.sorted[ends[1]]
+            made[self.order[n - depth :], column] = self.sorted[n - depth :]
+            made[self.order[:depth], column + dim] = self.sorted[:depth]
+            self.known[key] = made
+        return self.known[key]
 
 
 def search(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, candidate number and score of all pairs that may be among the k best of a query.
 
-    ``bars`` holds for each query a score that k other candidates are known to reach, or the least integer.
+    ``bars`` holds for each query a score that k other candidates are known to reach, or ``NONE``.
     """
     n, dim = lists.vectors.shape
-    top = int(np.abs(queries).max(initial=0)) * int(np.abs(lists.vectors).max(initial=0)) * dim
+    top = _largest(queries) * _largest(lists.vectors) * dim
     kind = np.float32 if top < 1 << 23 else np.float64
     slack = 0.0 if top < 1 << 52 else top * 1e-12
     # Each end of a list counts for the queries whose component has its sign.
@@ -121,42 +135,50 @@ def search(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, bars: np.nd
     own = lists.ids[None, :] == query_ids[:, None]
     bars = bars.astype(np.float64)
     open_rows = np.arange(len(queries))
+    lists.asked += len(queries) * n * dim
+    before = 0
     out = []
     for share in DEPTHS:
         depth = n if share == 1 else int(n * share)
-        values, marks, near, far = lists.read(depth, kind)
-        w = weights[open_rows]
-        seen = w @ values.T
-        reads = depth < n
-        upper = seen + ((w @ near)[:, None] - (w * near) @ marks.T) if reads else seen
-        lower = seen + ((w @ far)[:, None] - (w * far) @ marks.T) if reads else seen
-        mask = own[open_rows]
-        if mask.any():
-            upper, lower = np.where(mask, -np.inf, upper), np.where(mask, -np.inf, lower)
-        if n > k:
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            bars[open_rows] = np.maximum(bars[open_rows], kth - slack)
-        alive = upper + slack >= bars[open_rows][:, None]
-        alive &= upper > -np.inf
-        done = alive.sum(1) <= (n if not reads else RESOLVED)
+        lists.entries += len(open_rows) * (depth - before) * dim
+        before = depth
+        w, mask = weights[open_rows], own[open_rows]
+        bound = lambda rows, upper: np.clip(w[rows] @ lists.read(depth, upper, kind).T, *map(float, LONG))  # noqa: B023, E731
+        upper = np.where(mask, -np.inf, bound(slice(None), True))
+        blank = bars[open_rows] == NONE
+        if blank.any() and n > k:
+            lower = upper[blank] if depth == n else np.where(mask[blank], -np.inf, bound(blank, False))
+            bars[open_rows[blank]] = np.partition(lower, n - k, axis=1)[:, n - k].astype(np.float64) - slack
+        alive = (upper + slack >= bars[open_rows][:, None]) & (upper > -np.inf)
+        done = alive.sum(1) <= (n if depth == n else RESOLVED)
         rows, cols = np.nonzero(alive[done])
         numbers = open_rows[done][rows]
         for a in range(0, len(numbers), 1 << 16):
             q, c = numbers[a : a + (1 << 16)], cols[a : a + (1 << 16)]
-            out.append((q, c, np.einsum("ij,ij->i", queries[q], lists.vectors[c])))
+            out.append((q, c, _score(queries[q], lists.vectors[c], top)))
+        # A lower bound that this round has given holds for this block only if later rounds don't beat it.
+        bars[open_rows[blank & ~done]] = NONE
         open_rows = open_rows[~done]
         if not len(open_rows):
             break
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
+def _score(a: np.ndarray, b: np.ndarray, top: int) -> np.ndarray:
+    """Inner products of rows as longs; what passes a long is its nearest end. ``top`` is a bound of their size."""
+    if top < 1 << 62:
+        return np.einsum("ij,ij->i", a, b)
+    exact = (a.astype(object) * b.astype(object)).sum(axis=1)
+    return np.array([min(max(x, LONG[0]), LONG[1]) for x in exact], np.int64)
+
+
 class Best:
     """The k best candidates so far of each query of a block; ties go to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, tags: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.tags, self.vectors, self.k = ids, tags, vectors, k
         self.found = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.bars = np.full(len(ids), np.iinfo(np.int64).min // 2)
+        self.bars = np.full(len(ids), NONE)
 
     def add(self, lists: Lists) -> None:
         new = []
@@ -165,12 +187,13 @@ class Best:
             q, c, score = search(lists, self.vectors[a:b], self.ids[a:b], self.bars[a:b], self.k)
             new.append((q + a, lists.ids[c], score))
         q, ids, scores = (np.concatenate(x) for x in zip(self.found, *new, strict=True))
-        order = np.lexsort((ids, -scores, q))
+        order = np.lexsort((ids, ~scores, q))  # ~x falls as x grows, and never leaves the long
         q, ids, scores = q[order], ids[order], scores[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
         full = q[rank == self.k - 1]
-        self.bars[full] = scores[rank == self.k - 1]
+        # As a double the score may be rounded up: the next one below is safe.
+        self.bars[full] = np.nextafter(scores[rank == self.k - 1].astype(np.float64), -np.inf)
         self.found = q[keep], ids[keep], scores[keep]
 
 
@@ -178,25 +201,18 @@ def _meet(k: int):
     """Streams the chunks of (query block, candidate group) keys, queries first, and gives each key's best pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, best, waiting = None, [], None, []
-
-        def flush() -> None:
-            nonlocal waiting
-            if waiting and best is not None:
-                best.add(Lists(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
-            waiting = []
+        key, queries, best = None, [], None
 
         def result() -> Iterator[pa.RecordBatch]:
-            flush()
             if best is not None and len(best.found[0]):
                 q, ids, scores = best.found
-                yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.tags[q]), pa.array(ids), pa.array(scores)], ["query_id", "tag", "vec_id", "score"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 if (row["cell"], row["dim"]) != key:
                     yield from result()
-                    key, queries, best, waiting = (row["cell"], row["dim"]), [], None, []
+                    key, queries, best = (row["cell"], row["dim"]), [], None
                 part = _unpack(row["ids"], row["vectors"], row["dim"])
                 if row["role"] == 0:
                     queries.append(part)
@@ -205,9 +221,9 @@ def _meet(k: int):
                     best, queries = Best(*(np.concatenate(x) for x in zip(*queries, strict=True)), k), []
                 if best is None:
                     continue
-                if waiting and sum(len(w[0]) for w in waiting) + len(part[0]) > CHUNK:
-                    flush()
-                waiting.append(part)
+                ids, _, vectors = part
+                for at in range(0, len(ids), LISTED):
+                    best.add(Lists(ids[at : at + LISTED], vectors[at : at + LISTED]))
         yield from result()
 
     return run
@@ -219,11 +235,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     Both inputs have (``id`` long, ``vector`` array<long>). A candidate with the query's id is the query's own row
     and doesn't count; ties go to the smaller id. Defined cases: rows with a null id or vector take no part; only
     vectors of one length are compared; a query with fewer than k candidates gets them all, one with none gets no
-    row; a query that is repeated with the same vector counts once, a repeated candidate each time.
+    row; a query that is repeated with the same vector counts once, with another vector it gets a ranking of its own
+    under the same id; a repeated candidate counts each time. Scores beyond a long are its ends, and so are ties there.
     """
     usable = "id is not null and vector is not null and size(vector) > 0"
-    asked = queries.where(usable).select(F.lit(0).alias("role"), "id", "vector").dropDuplicates(["id", "vector"])
-    given = candidates.where(usable).select(F.lit(1).alias("role"), "id", "vector")
+    tag = F.xxhash64("vector").alias("tag")
+    asked = queries.where(usable).select(F.lit(0).alias("role"), "id", tag, "vector").dropDuplicates(["id", "vector"])
+    given = candidates.where(usable).select(F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("tag"), "vector")
     n_queries, n_given = asked.count(), given.count()
     blocks = max(1, -(-n_queries // QUERIES))
     groups = min(MOST_GROUPS, max(1, -(-n_given // GROUP)))
@@ -233,6 +251,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     give = pack(given).withColumns({"block": in_all(blocks), "group": F.pmod("part", F.lit(groups))})
     cell = (F.col("block") * groups + F.col("group")).cast("long")
     met = ask.select(cell.alias("cell"), "role", "part", "dim", "ids", "vectors").unionByName(give.select(cell.alias("cell"), "role", "part", "dim", "ids", "vectors"))
-    pairs = met.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "dim", "role", "part").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    pairs = met.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "dim", "role", "part").mapInArrow(_meet(k), "query_id long, tag long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), F.col("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
