@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ def encode(payload: bytes) -> bytes:
 
 
 def decode(file: bytes) -> np.ndarray:
-    """The samples as height x width (grey, bits) or height x width x 3 (colour). ValueError for anything else."""
+    """The samples as height x width (grey, bits) or height x width x 3 (colour). ValueError for anything else, whatever
+    the bytes are."""
     if file[:2] in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         return _netpbm(file)
     if file[:2] == b"BM":
@@ -70,23 +72,32 @@ def _netpbm(file: bytes) -> np.ndarray:
     if not (width > 0 and height > 0 and 0 < most < 65536):
         raise ValueError("sizes out of range")
     shape = (height, width, 3) if kind in b"36" else (height, width)
-    n = int(np.prod(shape))
-    if kind in b"123":
-        rest = file[at:]
-        values = np.array([b - 48 for b in rest if b in b"01"] if kind == b"1" else rest.split(), np.int64)[:n]
-    elif kind == b"4":
+    n = math.prod(shape)
+    if kind == b"4":
         row = -(-width // 8)
+        _holds(file, at + 1, row * height)
         packed = np.frombuffer(file, np.uint8, row * height, at + 1).reshape(height, row)
         return 1 - np.unpackbits(packed, axis=1)[:, :width]
-    else:
+    if kind in b"56":
+        _holds(file, at + 1, n * (2 if most > 255 else 1))
         values = np.frombuffer(file, ">u2" if most > 255 else np.uint8, n, at + 1)
-    if len(values) < n:
-        raise ValueError("samples are missing")
+    else:
+        rest = [b"%c" % b for b in file[at:] if b in b"01"] if kind == b"1" else file[at:].split()
+        if len(rest) < n or not all(x.isdigit() and len(x) < 10 for x in rest[:n]):
+            raise ValueError("samples are missing or no numbers")
+        values = np.array(rest[:n]).astype(np.int64)
+    if n and values.max() > most:
+        raise ValueError("a sample is too large")
     if kind == b"1":
         values = 1 - values  # a set bit is black
     return values.reshape(shape).astype(np.uint16 if most > 255 else np.uint8)
 
 
+def _holds(file: bytes, start: int, size: int) -> None:
+    if start + size > len(file):
+        raise ValueError("samples are missing")
+
+
 def _bmp(file: bytes) -> np.ndarray:
     if len(file) < 54:
         raise ValueError("header ends early")
@@ -95,12 +106,16 @@ def _bmp(file: bytes) -> np.ndarray:
     if packing or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("only plain BMP files of 8, 24 or 32 bits")
     row = -(-width * bits // 32) * 4
+    _holds(file, start, row * abs(height))
     raw = np.frombuffer(file, np.uint8, row * abs(height), start).reshape(abs(height), row)
     raw = raw[:, : width * bits // 8].reshape(abs(height), width, bits // 8)
     raw = raw if height < 0 else raw[::-1]
     if bits > 8:
         return raw[:, :, 2::-1]
+    _holds(file, 14 + size, 4 * (colours or 256))
     palette = np.frombuffer(file, np.uint8, 4 * (colours or 256), 14 + size).reshape(-1, 4)[:, 2::-1]
+    if raw.max() >= len(palette):
+        raise ValueError("a sample passes the palette")
     if (palette == palette[:, :1]).all():
         return palette[:, 0][raw[:, :, 0]]
     return palette[raw[:, :, 0]]
@@ -109,7 +124,8 @@ def _bmp(file: bytes) -> np.ndarray:
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over ``height x width`` equal boxes of the image; samples that a box cuts count by their share."""
     sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1, *image.shape[2:]))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=sums[1:, 1:])
+    np.cumsum(image, axis=0, dtype=np.float64, out=sums[1:, 1:])
+    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
 
     def at(total: np.ndarray, axis: int, n: int) -> np.ndarray:
         place = np.linspace(0, image.shape[axis], n + 1)
@@ -170,7 +186,8 @@ MADE = T.StructType(
 
 
 def features(rows: DataFrame, media: str = "media") -> DataFrame:
-    """Replace ``media`` by what its decoded samples give; ``tile`` is a 16 x 16 area mean as float32 NPY file.
+    """Replace ``media`` by what its decoded samples give; ``tile`` is a 16 x 16 area mean as float32 NPY file and
+    ``feature`` its difference hash.
 
     A null file, or one that can't be decoded, gives null in all of the new columns but ``media_bytes`` and
     ``media_sha256`` (null for null). Columns named like a result are replaced. A map over rows.
@@ -188,8 +205,8 @@ def features(rows: DataFrame, media: str = "media") -> DataFrame:
         except ValueError:
             return (None, None, None, *stored, None, None)
         payload = image.tobytes()
-        tile = npy(resize(grey(image), TILE, TILE).astype(np.float32))
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, dhash(image), tile)
+        tile = resize(grey(image), TILE, TILE).astype(np.float32)
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, dhash(tile), npy(tile))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _bounded(batches):

@@ -54,7 +54,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.features(media.store(docs)).drop("tile")
+    return media.features(media.store(docs)).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

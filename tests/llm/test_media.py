@@ -20,7 +20,7 @@ def test_netpbm():
     assert M.decode(b"P6 1 2 255\nabcdef").tolist() == [[[97, 98, 99]], [[100, 101, 102]]]
 
 
-@pytest.mark.parametrize("file", [b"", b"P5", b"P5 2 2 255\n1", b"P5 0 2 255\n", b"P2 x", b"BM", b"GIF89a", b"P5 2 2 99999\n1234"])
+@pytest.mark.parametrize("file", [b"", b"P5", b"P5 2 2 255\n1", b"P5 0 2 255\n", b"P2 x", b"BM", b"GIF89a", b"P5 2 2 99999\n1234", b"P5 1 1 9\n\x0a", b"P2 1 1 255 99999999999999999999999", b"P3 1 1 255 1 -2 3", b"P5 99999999999 99999999999 255\n1", b"P4 9999999999999 9 \n1"])
 def test_bad_files(file):
     with pytest.raises(ValueError):
         M.decode(file)
@@ -60,7 +60,12 @@ def test_tables(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         file = M.encode(payload)
         assert r.media_bytes == len(file) and r.media_sha256 == hashlib.sha256(file).hexdigest() and len(r.feature) == 16
-        assert np.load(io.BytesIO(r.tile)).shape == (16, 16)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 24).astype(float)
+        means = lambda x, h, w: np.repeat(np.repeat(x, h, 0), w, 1).reshape(h, len(x), w, -1).mean((1, 3))
+        tile = np.load(io.BytesIO(r.tile))
+        assert tile.shape == (16, 16) and np.allclose(tile, means(image, 16, 16))
+        small = np.rint(means(tile.astype(float), 8, 9) * 256)
+        assert r.feature == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
     assert out[2][2:] == out[6][2:]
     assert M.features(M.store(df.limit(0))).count() == 0
 
@@ -69,3 +74,23 @@ def test_files_that_are_none(spark):
     df = spark.createDataFrame([(1, None), (2, b"junk"), (3, b"P5 1 1 255\n\x07")], "id int, media binary")
     got = {r.id: r for r in M.features(df).collect()}
     assert got[1].media_bytes is None and got[2].media_bytes == 4 and got[2].feature is None and got[3].payload_bytes == 1
+
+
+def bmp(height, bits, colours, samples, size=40):
+    palette = bytes(4 * colours)
+    head = b"BM" + bytes(8) + (54 + len(palette)).to_bytes(4, "little")
+    info = size.to_bytes(4, "little") + (4).to_bytes(4, "little") + height.to_bytes(4, "little", signed=True) + b"\x01\x00" + bits.to_bytes(2, "little") + bytes(16) + colours.to_bytes(4, "little") + bytes(4)
+    return head + info + palette + samples
+
+
+def test_malformed_files_give_nulls(spark):
+    rng = np.random.default_rng(7)
+    files = [bmp(1, 8, 2, b"\x00\x01\x02\x03"), bmp(-(2**31), 8, 2, b"\x00" * 4), bmp(1, 32, 2, b"\x00" * 3), bmp(1, 8, 200, b"\x00" * 4, size=2**31 - 1)]
+    good = [bmp(1, 8, 4, b"\x00\x01\x02\x03"), M.encode(bytes(range(256)) * 9)]
+    junk = [b"BM" + rng.bytes(int(n)) for n in rng.integers(0, 200, 150)] + [b"P%d " % (k % 6 + 1) + rng.bytes(int(n)) for k, n in enumerate(rng.integers(0, 60, 300))]
+    for file in good:  # one byte after the other is another one
+        junk += [file[:i] + bytes([int(rng.integers(256))]) + file[i + 1 :] for i in range(min(len(file), 80))]
+    rows = [(i, f) for i, f in enumerate(files + good + junk)]
+    got = {r.id: r for r in M.features(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert len(got) == len(rows) and all(got[i].media_bytes == len(f) for i, f in rows)
+    assert [got[i].payload_bytes for i in range(6)] == [None] * 4 + [4, 2304]
