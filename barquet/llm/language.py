@@ -6,8 +6,9 @@ slots) give each of these a log-probability. A Viterbi pass over the words, in w
 fixed penalty, then labels each word; runs of a label are the spans of a text, and the label of most letters is its
 language.
 
-The model is small, whatever the input: ``KINDS * SLOTS`` numbers for each language. It is fitted on about
-``per_language`` labelled texts of each language at most, taken by a hash of the text; everything is predicted.
+The model is small, whatever the input: ``KINDS * SLOTS`` numbers for each language, of which there are ``MAX_LANGUAGES``
+at most. It is fitted on about ``per_language`` labelled texts of each language at most, taken by a hash of the text;
+everything is predicted.
 """
 
 from __future__ import annotations
@@ -178,17 +179,17 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, prior: np.ndarray, penalty
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000, penalty: float = 6.0) -> Model:
     """Learn from rows whose text and ``lang`` aren't null, about ``per_language`` of each language at most.
 
-    Where no row is labelled there is nothing to learn, and the model calls every text ``und``. More than
-    ``MAX_LANGUAGES`` languages raise ValueError.
+    Where no row is labelled there is nothing to learn, and the model calls every text ``und``. Of more than
+    ``MAX_LANGUAGES`` labels those of most rows are learned (ties: the smaller names).
     """
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    counts = {r.lang: r["count"] for r in most.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((KINDS, SLOTS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), np.zeros(0), penalty)
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))))
+    usable = usable.where(F.col("lang").isin(languages))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     rows = usable.where(drawn).mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     scripts = KINDS * SLOTS
@@ -224,18 +225,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (all, if None) with ``lang_pred, score, lang_spans``. A map over rows without a shuffle.
+    """The columns ``keep`` (all, if None) with ``lang_pred, score, in_script, lang_spans``. A map over rows without a shuffle.
 
-    ``lang_pred`` is the language of most letters (ties: the smaller name), ``score`` its share of the letters;
+    ``lang_pred`` is the language of most letters (ties: the smaller name), ``score`` its share of the letters,
+    ``in_script`` the share of the letters that are in a script of that language (0 for ``und``);
     spans are (start, end, lang) in characters. Texts that are null or have no letter get ``und``, score 0 and no
     spans; letters in scripts of no learned language take the language of the words around them, or the most
     frequent one. Columns of ``keep`` named like a result are replaced.
     """
-    made = ("lang_pred", "score", "lang_spans")
+    made = ("lang_pred", "score", "in_script", "lang_spans")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     carried = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
     fields = [carried.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(SPAN))])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("in_script", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(SPAN))])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,22 +251,24 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
 def _label(part: pa.RecordBatch, model: Model) -> list[pa.Array]:
     n_lang, n = len(model.languages), part.num_rows
     if not n_lang:
-        return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
+        return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
     pieces = []
     for p in tokens.slices(part, "__text", READ_BYTES):
         w = read_words(p["__text"])
-        pieces.append((model.scores(w), w.per_text, w.letters.astype(np.int32), w.first.astype(np.int32), w.last.astype(np.int32)))
-    scores, per_text, letters, first, last = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        pieces.append((model.scores(w), w.per_text, w.letters.astype(np.int32), w.first.astype(np.int32), w.last.astype(np.int32), w.script))
+    scores, per_text, letters, first, last, script = (np.concatenate(x) for x in zip(*pieces, strict=True))
     labels = viterbi(scores, per_text, model.prior, model.penalty)
     text_of = np.repeat(np.arange(n), per_text)
     share = np.bincount(text_of * n_lang + labels, weights=letters, minlength=n * n_lang).reshape(n, n_lang)
     total = share.sum(1)
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
     top = np.where(total > 0, share.argmax(1), n_lang)
+    usual = np.append(model.scripts, np.zeros((len(model.scripts), 1), bool), axis=1)[script, top[text_of]]
+    in_script = np.bincount(text_of[usual], weights=letters[usual], minlength=n)
     opens = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])])) if len(labels) else np.zeros(0, int)
     closes = np.append(opens[1:], len(labels)) - 1 if len(opens) else opens
     spans = pa.StructArray.from_arrays(
         [pa.array(first[opens]), pa.array(last[closes] + 1), pa.array(names[labels[opens]], pa.string())], ["start", "end", "lang"]
     )
     at = np.searchsorted(text_of[opens], np.arange(n + 1)).astype(np.int32)
-    return [pa.array(names[top], pa.string()), pa.array(share.max(1) / np.maximum(total, 1)), pa.ListArray.from_arrays(pa.array(at), spans)]
+    return [pa.array(names[top], pa.string()), pa.array(share.max(1) / np.maximum(total, 1)), pa.array(in_script / np.maximum(total, 1)), pa.ListArray.from_arrays(pa.array(at), spans)]

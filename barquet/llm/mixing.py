@@ -5,8 +5,10 @@ Each source gets a target number of words; all its documents then have the same
 ``[0, n * rate)``; with one random offset a document is taken once for each integer that its stretch crosses, so
 it is taken ``floor(rate)`` or ``ceil(rate)`` times. The order is by size class, so every class keeps its share.
 
-No window ever spans a source: documents are ranked within cells (source, size class, salt), the cells' counts are
-summed up within the source, and both ranks add up to the prefix sum.
+Texts are read once, for their words and a hash: what is ranked are narrow rows, equal ones as one. No window ever spans a
+source: rows are ranked within cells (source, size class, salt of the hash; as many salts as rows need), the cells' counts
+are summed up within the class and the classes' within the source, and these ranks add up to the prefix sum. Documents
+meet their copies in one join.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquet.llm.graph import written
+
 #: Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
-SALTS = 64
+CELL_ROWS = 50_000  #: rows of a cell at most, at about
 
 
 def word_count(text: Column) -> Column:
@@ -50,6 +54,74 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     )
 
 
+def _hash(text: Column) -> Column:
+    """The hash that deals texts to salts and orders those of one size."""
+    return F.substr(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(1), F.lit(16))
+
+
+def _known(column: Column) -> Column:
+    """A column as text without nulls, so that equal values meet in plain joins and windows."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+CELL = ("__source", "__class", "__salt")
+ROW = ("__source", "__id", "__hash")
+MADE = ("size", "source_size", "target", "copies", "taken")
+
+
+def _ranked(rows: DataFrame, seed: int, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """One row for all equal rows of ``id, source, size, __hash``: how many they are (``m``), the number of documents before
+    them in their source, and what ``_copies`` needs."""
+    equal = written(rows.groupBy("id", "source", "size", "__hash").agg(F.count("*").alias("m")))
+    salts = max(1, -(-equal.count() // CELL_ROWS))
+    dealt = equal.withColumns(
+        {
+            "__source": _known(F.col("source")),
+            "__id": _known(F.col("id")),
+            "__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"),
+            "__salt": F.pmod(F.conv(F.substr("__hash", F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(salts)),
+        }
+    )
+    order = Window.partitionBy(*CELL).orderBy("size", "__hash", F.col("id").asc_nulls_first())
+    ranked = dealt.withColumn("__in_cell", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
+    before = lambda by, n: F.coalesce(F.sum("m").over(Window.partitionBy(*CELL[:by]).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = dealt.groupBy(*CELL).agg(F.sum("m").alias("m"))
+    classes = cells.groupBy(*CELL[:2]).agg(F.sum("m").alias("m")).withColumn("__in_source", before(1, "__class")).drop("m")
+    targets = source_targets(equal.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, most)
+    targets = targets.withColumns({"__source": _known(F.col("source")), "__draw": F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")))}).drop("source")
+    plan = cells.withColumn("__in_class", before(2, "__salt")).drop("m").join(classes, list(CELL[:2])).join(targets, "__source")
+    offset = F.conv(F.substr(F.md5("__draw"), F.lit(1), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return ranked.join(plan, list(CELL)).select(
+        *ROW, "id", "source", "size", "m", "source_size", "target", (F.col("__in_source") + F.col("__in_class") + F.col("__in_cell")).alias("__before"), offset.alias("__offset"), rate.alias("__rate")
+    )
+
+
+def _copies(j: Column | str) -> Column:
+    """Integers that the stretch of the j-th of equal rows crosses."""
+    upto = lambda n: F.floor(F.col("__offset") + n * F.col("__rate"))
+    nth = F.col("__before") + j
+    return (upto(nth) - upto(nth - 1)).cast("long")
+
+
+def shares(
+    docs: DataFrame,
+    seed: int,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: int = 2,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """A row for every document, without its text: id, source and ``size, source_size, target, copies, taken``, as ``mix``."""
+    col = lambda c: F.col(f"`{c}`")
+    rows = docs.select(col(doc_id).alias("id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"), _hash(col(text)).alias("__hash"))
+    each = _ranked(rows, seed, weights, share, most).withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    out = each.withColumn("copies", _copies(F.col("__j"))).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(F.col("id").alias(doc_id), F.col("source").alias(source), *MADE)
+
+
 def mix(
     docs: DataFrame,
     seed: int,
@@ -69,37 +141,17 @@ def mix(
     repeated rows are documents of their own, and which of them a copy falls to makes no difference; with no
     rows, or no words at all, nothing is taken. Input columns named like the five results are replaced.
     """
-    made = ("size", "source_size", "target", "copies", "taken")
-    rows = docs.drop(*(c for c in made if c in docs.columns)).withColumn("size", word_count(F.col(f"`{text}`")))
-    sized = rows.select(F.col(f"`{source}`").alias("source"), "size")
-    targets = source_targets(sized, weights, share, most).select(F.col("source").alias("__source"), "source_size", "target")
-
-    cell = {
-        "__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"),
-        "__salt": F.coalesce(F.pmod(F.col(f"`{doc_id}`"), F.lit(SALTS)), F.lit(-1)).cast("int"),
-    }
-    keys = ("__source", "__class", "__salt")
-    celled = rows.withColumn("__source", F.col(f"`{source}`")).withColumns(cell)
-    order = [F.col("size"), F.col(f"`{doc_id}`")]
-    ranked = celled.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    in_source = Window.partitionBy("__source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = celled.groupBy(*keys).count().withColumn("__before", F.coalesce(F.sum("count").over(in_source), F.lit(0)))
-    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
-    plan = cells.join(targets, same(cells, targets, ["__source"]), "inner").drop(targets["__source"]).select(
-        *(F.col(k).alias(f"{k}_c") for k in keys), "__before", "source_size", "target"
-    )
-    joined = ranked.join(plan, [ranked[k].eqNullSafe(plan[f"{k}_c"]) for k in keys], "inner")
-
-    draw = F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("__source"), F.lit("")))), F.lit(1), F.lit(8)), 16, 10)
-    offset = draw.cast("double") / F.lit(4294967296.0)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    upto = lambda n: F.floor(offset + n * rate)
-    nth = F.col("__before") + F.col("__nth")
-    return (
-        joined.withColumn("copies", (upto(nth) - upto(nth - 1)).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", "copies", "taken")
-    )
+    rows = docs.drop(*(c for c in MADE if c in docs.columns))
+    col = lambda c: F.col(f"`{c}`")
+    narrow = docs.select(col(doc_id).alias("id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"), _hash(col(text)).alias("__hash"))
+    ranked = written(_ranked(narrow, seed, weights, share, most).drop("id", "source"))
+    keyed = rows.withColumns({"__source": _known(col(source)), "__id": _known(col(doc_id)), "__hash": _hash(col(text))})
+    met = keyed.join(ranked, list(ROW))
+    j = F.lit(1)
+    if not ranked.where("m > 1").isEmpty():  # which of equal rows is which: the join has brought them together
+        met, j = met.withColumn("__j", F.row_number().over(Window.partitionBy(*ROW).orderBy("__hash"))), F.col("__j")
+    out = met.withColumn("copies", _copies(j)).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*(col(c) for c in rows.columns), *MADE)
 
 
 def take(mixed: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.shares(docs, seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,9 @@ FROM cut
 """,
     "op6_mix": rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(text, '')), 1, 16) AS h FROM documents),
+n AS (SELECT greatest(1, ceil(count(*) / {mixing.CELL_ROWS}.0))::BIGINT AS salts FROM (SELECT DISTINCT doc_id, source, h FROM d)),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
@@ -149,10 +151,10 @@ t AS (
   FROM (SELECT *, arg_min(level, nth) FILTER (level * w < source_size * 2) OVER () AS first_level FROM l)),
 r AS (
   SELECT d.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1.0::DOUBLE) * 4), coalesce(((doc_id % 64) + 64) % 64, -1), size, doc_id NULLS FIRST) AS nth,
+         row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1.0::DOUBLE) * 4), ('0x' || substr(h, 1, 8))::UBIGINT::BIGINT % n.salts, size, h, doc_id NULLS FIRST) AS nth,
          ('0x' || substr(md5('{MIX_SEED}|' || coalesce(d.source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296 AS o,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM n, d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(o + nth * rate) - floor(o + (nth - 1) * rate))::BIGINT * size)::BIGINT AS taken FROM r
 """,
 }

@@ -54,6 +54,27 @@ def test_targets_and_copies(spark):
         assert abs(taken[s] - want[s]) <= 40 * math.log2(largest[s] + 2), s
     again = {(r.doc_id, r.taken) for r in run(spark, rows[::-1])}
     assert again == {(r.doc_id, r.taken) for r in got}
+    narrow = mixing.shares(spark.createDataFrame(rows, "doc_id long, source string, text string, size string"), seed=1).collect()
+    assert {(r.doc_id, r.taken) for r in narrow} == again and len(narrow) == len(rows)
+
+
+def test_many_cells(spark, monkeypatch):
+    """Ranks of small cells add up to those of one: every prefix of a source is taken in its share."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 7)
+    rows = [(64 * (i % 50) if i % 3 else None, "a" if i % 4 else "b", " ".join([*["w"] * (i % 11), str(i % 17)]), "x") for i in range(400)]
+    got = run(spark, rows)
+    want, taken, largest = check(rows, got)
+    for s, n in {"a": 300, "b": 100}.items():
+        copies = sum(r.copies for r in got if r.source == s)
+        rate = next(r.target / r.source_size for r in got if r.source == s)
+        assert abs(copies - n * rate) <= 1
+
+
+def test_one_scan_of_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a", "w " * i) for i in range(20)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    plan = mixing.shares(spark.read.parquet(str(tmp_path / "d")), seed=1)._jdf.queryExecution().toString()
+    assert "text" not in plan  # what is ranked has been written without them
 
 
 def test_defined_cases(spark):
