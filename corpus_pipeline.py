@@ -7,23 +7,22 @@ stage, rows without id are kept apart from near-duplicate search, null sources a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquet.llm import bpe, jaccard, language, mixing, pii
 from barquet.llm.queries import MIX_SEED, PII_KEY, tokenizer
-from barquet.session import table, use_checkpoints
+from barquet.session import scratch, table
 
-#: Least share of a document's letters that its language must have. Mixed texts pass; texts in no language don't.
-LEAST_SHARE = 0.4
+#: Least share of a document's letters that its language must have, and of those in scripts that this language is
+#: written in. Mixed texts pass; texts in no language, or in scripts that none of the learned ones uses, don't.
+LEAST_SHARE, LEAST_IN_SCRIPT = 0.4, 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a known language, and name it in ``lang``."""
     found = language.identify(docs, language.fit(docs))
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE) & (F.col("in_script") >= LEAST_IN_SCRIPT))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
@@ -61,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each but the last is written to the cluster's shared folder and read again."""
-    use_checkpoints(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    place = scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
