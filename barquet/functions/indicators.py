@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,33 +58,43 @@ def channel_break(bars: DataFrame, lookback: int = 20, by: tuple[str, ...] = SER
     return channel.withColumn("break", broke)
 
 
+SEGMENT = 1000  #: bars at most of a stretch that is smoothed by one window
+
+
 def rsi(bars: DataFrame, period: int = 14, column: str = "adj_close", by: tuple[str, ...] = SERIES) -> DataFrame:
     """Add ``rsi`` with Wilder's smoothing; null for the first ``period`` bars of a series.
 
-    The smoothing is a recursion, which no window frame expresses: a series is folded as one array, so it has to
-    fit a row (a century of daily bars takes a few megabytes).
+    The smoothing ``s = (s (period - 1) + x) / period`` is a recursion. Within a segment it is a running sum of values
+    weighted by powers of ``a = 1 - 1 / period``; only what a segment starts with is carried from one to the next, as a
+    fold over the segments' sums. So the time grows with the length of a series.
     """
     if period < 1:
         raise ValueError("period must be positive")
-    w = _order(by)
+    w, a = _order(by), (period - 1) / period
     change = F.col(column) - F.lag(column).over(w)
-    moves = bars.withColumns({"__gain": F.greatest(change, F.lit(0.0)), "__loss": F.greatest(-change, F.lit(0.0))})
-    row = F.struct("timestamp", "__gain", "__loss")
-    series = moves.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("s"))
-    head = F.slice("s", 2, period)
-    mean = lambda name: F.aggregate(head, F.lit(0.0), lambda a, x: a + x[name]) / period
-    step = lambda s, x, name: (s * (period - 1) + x[name]) / period
+    later = F.greatest(F.row_number().over(w) - period - 1, F.lit(0))
     value = lambda g, l: F.when(l == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(g, l)))
-    empty = F.array().cast("array<struct<timestamp:timestamp_ntz,rsi:double>>")
-    state = lambda g, l, out: F.struct(g.alias("g"), l.alias("l"), out.alias("out"))
-    at = lambda x, g, l: F.struct(x["timestamp"].alias("timestamp"), value(g, l).alias("rsi"))
-
-    def fold(s: Column, x: Column) -> Column:
-        g, l = step(s["g"], x, "__gain"), step(s["l"], x, "__loss")
-        return state(g, l, F.array_append(s["out"], at(x, g, l)))
-
-    first = F.element_at("s", period + 1)
-    start = state(mean("__gain"), mean("__loss"), F.array_append(empty, at(first, mean("__gain"), mean("__loss"))))
-    folded = F.aggregate(F.slice("s", F.lit(period + 2), F.size("s")), start, fold, lambda s: s["out"])
-    lines = series.where(F.size("s") > period).select(*by, F.explode(folded).alias("o")).select(*by, "o.timestamp", "o.rsi")
-    return bars.join(lines, [*by, "timestamp"], "left")
+    if not a:  # nothing is carried from bar to bar
+        return bars.withColumn("rsi", F.when(change.isNotNull(), value(F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0)))))
+    size = max(1, min(SEGMENT, int(200 / -math.log(a))))
+    moves = bars.withColumns({"__gain": F.greatest(change, F.lit(0.0)), "__loss": F.greatest(-change, F.lit(0.0)), "__nth": F.row_number().over(w), "__k": later})
+    segment = F.floor(F.greatest(F.col("__k") - 1, F.lit(0)) / size).cast("int")
+    moves = moves.withColumn("__seg", segment).withColumn("__pos", (F.col("__k") - F.col("__seg") * size).cast("int"))
+    power = lambda n: F.pow(F.lit(a), n)
+    part = lambda x: F.when(F.col("__k") > 0, F.col(x) / period).otherwise(0.0)
+    two = lambda f: [f("__gain").alias("g"), f("__loss").alias("l")]
+
+    head = F.col("__nth").between(2, period + 1)
+    seeds = moves.where(head).groupBy(*by).agg(*two(lambda x: F.sum(x) / period), F.count("*").alias("n")).where(F.col("n") == period)
+    sums = moves.groupBy(*by, "__seg").agg(*two(lambda x: F.sum(part(x) * power(size - F.col("__pos")))))
+    series = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__seg", "g", "l"))).alias("s")).join(seeds, list(by))
+    state = lambda g, l: F.struct(g.alias("g"), l.alias("l"))
+    carry = lambda c, x: state(c["g"] * a**size + x["g"], c["l"] * a**size + x["l"])
+    fold = F.aggregate("s", F.array(state(F.col("g"), F.col("l"))), lambda c, x: F.array_append(c, carry(F.element_at(c, -1), x)))
+    starts = series.select(*by, F.posexplode(fold).alias("__seg", "c")).select(*by, "__seg", F.col("c.g").alias("__g"), F.col("c.l").alias("__l"))
+
+    inside = Window.partitionBy(*by, "__seg").orderBy("__nth").rowsBetween(Window.unboundedPreceding, 0)
+    summed = lambda x: F.sum(part(x) / power(F.col("__pos"))).over(inside) * power(F.col("__pos"))
+    own = moves.withColumns({"__gs": summed("__gain"), "__ls": summed("__loss")}).join(starts, [*by, "__seg"], "left")
+    g, l = (power(F.col("__pos")) * F.col(c) + F.col(s) for c, s in (("__g", "__gs"), ("__l", "__ls")))
+    return own.withColumn("rsi", F.when((F.col("__nth") > period) & F.col("__g").isNotNull(), value(g, l))).select(*bars.columns, "rsi")
