@@ -8,8 +8,8 @@ links.
    ``n - ceil(threshold * n) + 1`` shingles, so no link is lost. Blocks of texts look up these frequencies
    (``blocks``), which count all shingles of all texts by 40 bits of their hash; any fixed order would be right,
    this one keeps shared passages out of the prefixes, and a shingle that only one text has needs no partner.
-3. Cells: classes whose sets have the same least hash are a cell, or several if they are many or long; a large group of
-   near copies has few such hashes. Two cells are compared if a prefix shingle occurs in both; within them, the pairs
+3. Cells: classes with the same least hash among the more frequent half of their shingles are a cell, or several if
+   they are many or long; a large group of near copies has few such hashes. Two cells are compared if a prefix shingle occurs in both; within them, the pairs
    that share one. So a class is sent once for each cell that it may have a partner in, however many shingles it has in
    common with it.
 4. Pruning: MinHash values of a pair are compared ``STEP`` at a time. With m of n equal and a uniform prior, the
@@ -44,7 +44,7 @@ READ = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("key", T.LongType()),  #: of the set
         T.StructField("n", T.IntegerType()),  #: shingles of the set
-        T.StructField("mark", T.LongType()),  #: least hash of the set
+        T.StructField("mark", T.LongType()),  #: least hash of the more frequent half of the set
         T.StructField("shared", T.IntegerType()),  #: prefix shingles that others have too; they stand first in ``body``
         T.StructField("body", T.BinaryType()),  #: the set, once for each class of a block
     ]
@@ -145,7 +145,7 @@ def _solve(words: int, threshold: float):
             for i in mine.tolist():
                 own, times = values[begin[i] : begin[i] + sizes[i]], often[begin[i] : begin[i] + sizes[i]]
                 order = np.lexsort((own, times, times < 2))
-                mark[i], shared[i] = own.min().view(np.int64), left[i]
+                mark[i], shared[i] = own[times >= np.median(times)].min().view(np.int64), left[i]
                 bodies[i] = own[order].tobytes()
             none = np.ones(n, bool)
             none[mine] = False
