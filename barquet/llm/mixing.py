@@ -5,10 +5,10 @@ Each source gets a target number of words; all its documents then have the same
 ``[0, n * rate)``; with one random offset a document is taken once for each integer that its stretch crosses, so
 it is taken ``floor(rate)`` or ``ceil(rate)`` times. The order is by size class, so every class keeps its share.
 
-Texts are read once, for their words and a hash: what is ranked are narrow rows, equal ones as one. No window ever spans a
-source: rows are ranked within cells (source, size class, salt of the hash; as many salts as rows need), the cells' counts
-are summed up within the class and the classes' within the source, and these ranks add up to the prefix sum. Documents
-meet their copies in one join.
+Texts are read once, for their words and a hash: what is ranked are narrow rows, equal ones as one. They are dealt out by
+ranges of the whole order, id included, so a source, size class or group of copies that holds a third of all rows is
+spread like any other. Rows are ranked within (source, range), the ranges' counts are summed up within the source, and
+both add up to the prefix sum. Documents meet their copies in one join.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from barquet.llm.graph import written
 
 #: Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
-CELL_ROWS = 50_000  #: rows of a cell at most, at about
+CELL_ROWS = 50_000  #: rows of a range at about, and of the groups of hashes that a size class is laid out in
+RANGES = 10_000  #: at most; beyond CELL_ROWS * RANGES rows, ranges get longer
 
 
 def word_count(text: Column) -> Column:
@@ -55,7 +56,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def _hash(text: Column) -> Column:
-    """The hash that deals texts to salts and orders those of one size."""
+    """The hash that orders texts of one size class."""
     return F.substr(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(1), F.lit(16))
 
 
@@ -64,36 +65,42 @@ def _known(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-CELL = ("__source", "__class", "__salt")
 ROW = ("__source", "__id", "__hash")
+ORDER = ("__class", "__group", "size", "__hash", "id")  #: of a source's documents
 MADE = ("size", "source_size", "target", "copies", "taken")
 
 
-def _ranked(rows: DataFrame, seed: int, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
-    """One row for all equal rows of ``id, source, size, __hash``: how many they are (``m``), the number of documents before
-    them in their source, and what ``_copies`` needs."""
+def _ordered(rows: DataFrame) -> DataFrame:
+    """One row for all equal rows of ``id, source, size, __hash``: how many they are (``m``), the columns of the order, and
+    the range of it that they are in."""
     equal = written(rows.groupBy("id", "source", "size", "__hash").agg(F.count("*").alias("m")))
-    salts = max(1, -(-equal.count() // CELL_ROWS))
+    groups = max(1, -(-equal.count() // CELL_ROWS))
     dealt = equal.withColumns(
         {
             "__source": _known(F.col("source")),
             "__id": _known(F.col("id")),
             "__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"),
-            "__salt": F.pmod(F.conv(F.substr("__hash", F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(salts)),
+            "__group": F.pmod(F.conv(F.substr("__hash", F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(groups)),
         }
     )
-    order = Window.partitionBy(*CELL).orderBy("size", "__hash", F.col("id").asc_nulls_first())
-    ranked = dealt.withColumn("__in_cell", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
-    before = lambda by, n: F.coalesce(F.sum("m").over(Window.partitionBy(*CELL[:by]).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = dealt.groupBy(*CELL).agg(F.sum("m").alias("m"))
-    classes = cells.groupBy(*CELL[:2]).agg(F.sum("m").alias("m")).withColumn("__in_source", before(1, "__class")).drop("m")
-    targets = source_targets(equal.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, most)
+    ranges = dealt.repartitionByRange(min(groups, RANGES), "__source", *ORDER)
+    return written(ranges.withColumn("__range", F.spark_partition_id()))
+
+
+def _ranked(rows: DataFrame, seed: int, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """The rows of ``_ordered`` with the number of documents before them in their source, and what ``_copies`` needs."""
+    ordered = _ordered(rows)
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ordered.withColumn("__in_range", before(Window.partitionBy("__source", "__range").orderBy(*ORDER)))
+    counts = ordered.groupBy("__source", "__range").agg(F.sum("m").alias("m"))
+    starts = counts.withColumn("__start", before(Window.partitionBy("__source").orderBy("__range"))).drop("m")
+    targets = source_targets(ordered.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, most)
     targets = targets.withColumns({"__source": _known(F.col("source")), "__draw": F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")))}).drop("source")
-    plan = cells.withColumn("__in_class", before(2, "__salt")).drop("m").join(classes, list(CELL[:2])).join(targets, "__source")
+    plan = starts.join(targets, "__source")
     offset = F.conv(F.substr(F.md5("__draw"), F.lit(1), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return ranked.join(plan, list(CELL)).select(
-        *ROW, "id", "source", "size", "m", "source_size", "target", (F.col("__in_source") + F.col("__in_class") + F.col("__in_cell")).alias("__before"), offset.alias("__offset"), rate.alias("__rate")
+    return ranked.join(plan, ["__source", "__range"]).select(
+        *ROW, "id", "source", "size", "m", "source_size", "target", (F.col("__start") + F.col("__in_range")).alias("__before"), offset.alias("__offset"), rate.alias("__rate")
     )
 
 

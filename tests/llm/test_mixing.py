@@ -70,6 +70,17 @@ def test_many_cells(spark, monkeypatch):
         assert abs(copies - n * rate) <= 1
 
 
+def test_copies_are_spread(spark, monkeypatch):
+    """A text that most rows of a source repeat, with ids of their own, isn't ranked in one place."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 100)
+    rows = [(i, "a", "same words" if i % 5 else f"other {i}", "x") for i in range(2000)]
+    df = spark.createDataFrame([(i, s, 2, t) for i, s, t, _ in rows], "id long, source string, size long, __hash string")
+    df = df.withColumn("__hash", mixing._hash(df["__hash"]))
+    counts = [r["count"] for r in mixing._ordered(df).groupBy("__source", "__range").count().collect()]
+    assert len(counts) == 20 and max(counts) <= 200 and sum(counts) == 2000
+    check(rows, run(spark, rows))
+
+
 def test_one_scan_of_the_texts(spark, tmp_path):
     docs = spark.createDataFrame([(i, "a", "w " * i) for i in range(20)], "doc_id long, source string, text string")
     docs.write.parquet(str(tmp_path / "d"))
