@@ -17,25 +17,27 @@ def toks(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), END]
 
 
+def model(texts):
+    """Counts of all grams, N, V and p(w | h) by its definition."""
+    grams = Counter(tuple(t[i : i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(w, h):
+        if not h:
+            return (grams[w,] + 1) / (n + v + 1)
+        k = lm.DIRICHLET[len(h) - 1]
+        return (grams[*h, w] + k * p(w, h[1:])) / (grams[h] + k)
+
+    return grams, n, v, p
+
+
 def plain(rows):
-    uni, bi = Counter(), Counter()
-    for _, text, train in rows:
-        if train:
-            t = toks(text)
-            uni.update(t)
-            bi.update(zip(t, t[1:]))
-    n, v, k = sum(uni.values()), len(uni), lm.DIRICHLET
-    p = lambda w: (uni[w] + 1) / (n + v + 1)
+    grams, n, v, p = model([toks(text) for _, text, train in rows if train])
     out = {}
     for i, text, _ in rows:
-        t, total, state = toks(text), 0.0, None
-        for w in t:
-            if state is not None and bi[state, w]:
-                total += math.log10((bi[state, w] + k * p(w)) / (uni[state] + k))
-            else:
-                total += (math.log10(k / (uni[state] + k)) if state is not None else 0) + math.log10(p(w))
-            state = w if uni[w] else None
-        out[i] = (len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10(p(w)) for w in t), total)
+        t = toks(text)
+        total = sum(math.log10(p(w, tuple(t[max(0, j - 2) : j]))) for j, w in enumerate(t))
+        out[i] = (len(t), sum(grams[w,] > 0 for w in t), n, sum(math.log10(p(w, ())) for w in t), total)
     return out
 
 
@@ -73,10 +75,7 @@ def test_defined_cases(spark):
 
 def test_sums_to_one():
     """Over the known words and one unknown, p(w | h) is a distribution, in every state."""
-    text = "a b a c b a".split()
-    uni, bi = Counter(text + [END]), Counter(zip(text, text[1:] + [END]))
-    n, v, k = sum(uni.values()), len(uni), lm.DIRICHLET
-    p = lambda w: (uni[w] + 1) / (n + v + 1)
-    for h in "abc":
-        total = sum((bi[h, w] + k * p(w)) / (uni[h] + k) for w in uni) + k * p("?") / (uni[h] + k)
-        assert total == pytest.approx(1)
+    grams, _, _, p = model([[*"abacbaab", END]])
+    known = [g[0] for g in grams if len(g) == 1]
+    for h in [(), ("a",), ("b",), ("a", "b"), ("b", "a"), ("?",), ("c", "c"), ("?", "a")]:
+        assert sum(p(w, h) for w in [*known, "?"]) == pytest.approx(1)
