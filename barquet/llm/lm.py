@@ -33,6 +33,7 @@ from barquet.llm.graph import written
 #: aren't learned from the highest probability (3.52 against 3.76 of pairs alone, negative log10 a token).
 DIRICHLET = (64.0, 4.0)
 ORDER = len(DIRICHLET) + 1
+STRETCH = 256  #: tokens; more than ORDER
 #: The token at the end of every text.
 END = np.uint64(0x5851F42D4C957F2D)
 ASKED = "block long, bucket int" + "".join(f", keys{k} binary, counts{k} binary" for k in range(ORDER))
@@ -164,13 +165,19 @@ class Automaton:
         """The weight of every text. ``numbers`` are those of the gram of each length that ends at each token, -1 where the
         text has no such gram yet.
 
-        All texts advance together by a token a step, longest first, so that those still running are a prefix.
+        Texts are walked in stretches of ``STRETCH`` tokens. The state that a stretch hands to the next one is that of the
+        last gram in it, so all stretches advance together by a token a step, longest first: those running are a prefix.
         """
-        order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        running = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), side="right")
-        root = len(self.fail) - 1
-        state, total = np.full(len(sizes), root), np.zeros(len(sizes))
+        begin = np.cumsum(sizes) - sizes
+        parts = -(-sizes // STRETCH)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(begin, parts) + nth * STRETCH
+        lengths = np.minimum(np.repeat(begin + sizes, parts) - starts, STRETCH)
+        order = np.argsort(-lengths, kind="stable")
+        starts = starts[order]
+        running = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
+        handed = self.goto[-2][numbers[-2][starts - 1]]
+        state, total = np.where(nth[order] == 0, len(self.fail) - 1, handed), np.zeros(len(starts))
         for t, n in enumerate(running):
             at, now = starts[:n] + t, state[:n].copy()
             going = np.ones(n, bool)
@@ -187,9 +194,9 @@ class Automaton:
             word = numbers[0][at]
             total[:n] += np.where(going, self.arcs[0][word], 0.0)
             state[:n] = np.where(going, self.goto[0][word], state[:n])
-        out = np.zeros(len(sizes))
-        out[order] = total
-        return out
+        whole = np.zeros(len(order))
+        whole[order] = total
+        return np.add.reduceat(whole, np.cumsum(parts) - parts)
 
 
 def score(docs: DataFrame, train: str = "train", keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -60,6 +60,7 @@ def folder(spark, tmp_path_factory):
 
 def test_plain_version(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 300)
+    check(spark, [(1, "a b c d " * 300 + "a c b", True), (2, "a b c d " * 200 + "x y", False), (3, "b c", True)])
     rng = random.Random(1)
     words = ["Abc", "abc", "x", "É", "é", "the", "of", " ", "<s>"]
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(30))), rng.random() < 0.7) for i in range(80)]
