@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import bpe, jaccard, language, licenses, lm, media, mixing, pii, preference, topk
+from barquet.llm import bpe, bytebpe, jaccard, language, licenses, lm, media, mixing, pii, preference, topk
 from barquet.session import table
 
 #: Stands for the secret that a deployment keeps outside the code.
@@ -79,6 +79,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def byte_tokenizer() -> bytebpe.Ranks:
+    import public_tokenizers
+
+    return bytebpe.Ranks.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytebpe.encode(docs, byte_tokenizer(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -90,6 +101,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
+    "op13_bytebpe": op13_bytebpe,
 }
 
 ORACLE_SQL = {

@@ -30,7 +30,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, and where each begins (one more entry than texts); null is empty."""
+    """All bytes of the texts, and where each begins (one more entry than texts); null is empty. A text may be a list of words."""
+    if pa.types.is_list(texts.type):
+        body, at = text_bytes(texts.flatten())
+        return body, at[np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])]
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
