@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import bpe, bytebpe, jaccard, language, licenses, lm, media, mixing, pii, preference, topk
+from barquet.llm import bpe, bytebpe, codes, divergence, jaccard, language, licenses, lm, media, mixing, pii, preference, topk
 from barquet.session import table
 
 #: Stands for the secret that a deployment keeps outside the code.
@@ -79,6 +79,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def byte_tokenizer() -> bytebpe.Ranks:
     import public_tokenizers
 
@@ -101,10 +109,66 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
+    "op12_codes": op12_codes,
     "op13_bytebpe": op13_bytebpe,
 }
 
+def _codes_sql() -> str:
+    """The rounds one after the other; an entry is a list of whole numbers."""
+    assigned = """
+a{k} AS MATERIALIZED (
+  SELECT id, part, any_value(x) AS x, min(row(d, entry)) AS best FROM (
+    SELECT p.id, p.part, p.x, b.entry, list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT AS d FROM p JOIN b{k} b ON b.part = p.part)
+  GROUP BY id, part)"""
+    moved = """
+m{k} AS (
+  SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(z)::BIGINT AS s, count(*) AS n FROM (
+      SELECT part, best[2] AS entry, unnest(x) AS z, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL)
+  GROUP BY part, entry),
+b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)"""
+    rounds = ",".join(assigned.format(k=k) + "," + moved.format(k=k, n=k + 1) for k in range(codes.ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label, [floor({codes.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT id, k AS part, v[k * len(v) // {codes.PARTS} + 1:(k + 1) * len(v) // {codes.PARTS}] AS x FROM v, (SELECT unnest(range({codes.PARTS})) AS k)),
+f AS (SELECT id, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM v WHERE vec_id IS NOT NULL ORDER BY vec_id, v LIMIT {codes.ENTRIES}),
+b0 AS MATERIALIZED (SELECT p.part, f.entry, p.x AS c FROM f JOIN p ON p.id = f.id),{rounds},{assigned.format(k=codes.ROUNDS)},
+t AS (SELECT id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS told FROM b{codes.ROUNDS})
+SELECT v.vec_id, t.code, t.error, (sum(t.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, h.told AS codebooks_sha256 FROM v JOIN t ON t.id = v.id, h
+"""
+
+
 ORACLE_SQL = {
+    "op11_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST_DOCUMENTS}),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+n AS MATERIALIZED (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0)::HUGEINT AS n, v.v FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS MATERIALIZED (
+  SELECT *, (1 + {divergence.SCALE}::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v))::BIGINT AS p,
+         sum(n) OVER (PARTITION BY lang, term) AS m, sum(n) OVER (PARTITION BY lang) AS l FROM c),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (p - (1 + {divergence.SCALE}::HUGEINT * (m + 5) // (l + 5 * v)))::BIGINT AS value FROM p WHERE n > 0),
+r AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term WHERE value > 0)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.MOST_TERMS}
+""",
+    "op12_codes": _codes_sql(),
     "op1_topk": r"""
 WITH v AS (
   SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
