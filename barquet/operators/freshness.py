@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.operators.quality import KEY, finite, is_close
+from barquet.operators.scans import first_covering
 
 LINEAGE = ("start", "end", "source", "acquired_at", "content_hash", "action_signature")
 PRICES = ("open", "high", "low", "close", "adj_close")
@@ -22,10 +23,14 @@ PRICES = ("open", "high", "low", "close", "adj_close")
 class Freshness:
     """When cached sessions are fetched again."""
 
-    recent_ttl: dt.timedelta = dt.timedelta(hours=12)
+    recent_ttl: dt.timedelta = dt.timedelta(hours=1)
     historical_ttl: dt.timedelta = dt.timedelta(days=7)
     recent_sessions: int = 5
-    lag: dt.timedelta = dt.timedelta(hours=1)
+    lag: dt.timedelta = dt.timedelta(minutes=30)
+
+    def __post_init__(self) -> None:
+        if min(self.recent_ttl, self.historical_ttl, self.lag) < dt.timedelta(0) or self.recent_sessions < 1:
+            raise ValueError("times must not be negative, and at least one session is recent")
 
 
 def _at(now: dt.datetime) -> Column:
@@ -70,18 +75,40 @@ def stale_sessions(cached: DataFrame, lineage: DataFrame, sessions: DataFrame, n
     return aged.unionByName(bare).unionByName(unknown).distinct()
 
 
-def refresh_plan(symbols: DataFrame, cached: DataFrame, lineage: DataFrame, sessions: DataFrame, now: dt.datetime, rules: Freshness = Freshness()) -> DataFrame:
-    """Ranges of consecutive sessions to fetch, missing or stale: ``symbol, first, last, sessions, status``.
-
-    The status is the symbol's: STALE_REFRESH, MISS (nothing is cached) or PARTIAL_HIT; a full hit needs no range.
-    """
-    grid = _grid(symbols.select("symbol").distinct(), sessions)
+def _needed(requests: DataFrame, cached: DataFrame, lineage: DataFrame, sessions: DataFrame, now: dt.datetime, rules: Freshness) -> DataFrame:
+    """Every session of every requested symbol: ``symbol, session, nth, needed, status``, the status being the symbol's."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in requests.columns else F.lit(False)
+    forced = ~F.coalesce(F.col("use_cache"), F.lit(True)) if "use_cache" in requests.columns else F.lit(False)
+    asked = requests.groupBy("symbol").agg(F.max(forced).alias("unused"), F.max(flag("invalid")).alias("invalid"), F.max(flag("refresh")).alias("refresh"))
     days = cached.select("symbol", F.to_date("timestamp").alias("session")).distinct()
     have = days.withColumn("cached", F.lit(1))
     old = stale_sessions(cached, lineage, sessions, now, rules).withColumn("stale", F.lit(1))
+    grid = _grid(asked.select("symbol"), sessions).join(asked, "symbol")
     seen = grid.join(have, ["symbol", "session"], "left").join(old, ["symbol", "session"], "left")
-    status = F.when(F.max("stale").over(Window.partitionBy("symbol")) == 1, "STALE_REFRESH").when(F.max("cached").over(Window.partitionBy("symbol")).isNull(), "MISS").otherwise("PARTIAL_HIT")
-    needed = seen.withColumn("status", status).where("cached is null or stale = 1")
+    most = lambda x: F.max(x).over(Window.partitionBy("symbol"))
+    everything = F.col("unused") | F.col("invalid") | F.col("refresh")
+    status = F.when(F.col("unused"), "FORCED_REFRESH").when(F.col("invalid"), "INVALIDATED").when(F.col("refresh"), "FORCED_REFRESH").when(most("stale") == 1, "STALE_REFRESH")
+    status = status.when(most(F.col("cached").isNull()) & most("cached").isNull(), "MISS").when(most(F.col("cached").isNull()), "PARTIAL_HIT").otherwise("FULL_HIT")
+    return seen.select("symbol", "session", "nth", (everything | F.col("cached").isNull() | (F.col("stale") == 1)).alias("needed"), status.alias("status"))
+
+
+def cache_status(requests: DataFrame, cached: DataFrame, lineage: DataFrame, sessions: DataFrame, now: dt.datetime, rules: Freshness = Freshness()) -> DataFrame:
+    """``symbol, status, requested, needed``: what the cache holds of the requested sessions, and how many have to be fetched.
+
+    ``requests`` has ``symbol`` and may have ``use_cache`` (false: FORCED_REFRESH), ``invalid`` (the cached generation failed
+    its checks: INVALIDATED) and ``refresh`` (FORCED_REFRESH), which count in this order and need all sessions. Otherwise the
+    status is STALE_REFRESH if any session is stale, MISS if none is cached, PARTIAL_HIT if some are missing, or FULL_HIT.
+    """
+    seen = _needed(requests, cached, lineage, sessions, now, rules)
+    return seen.groupBy("symbol", "status").agg(F.count("*").alias("requested"), F.count_if("needed").alias("needed"))
+
+
+def refresh_plan(requests: DataFrame, cached: DataFrame, lineage: DataFrame, sessions: DataFrame, now: dt.datetime, rules: Freshness = Freshness()) -> DataFrame:
+    """Ranges of consecutive sessions to fetch: ``symbol, first, last, sessions, status`` (see ``cache_status``).
+
+    A full hit needs no range.
+    """
+    needed = _needed(requests, cached, lineage, sessions, now, rules).where(F.coalesce("needed", F.lit(False)))
     island = F.col("nth") - F.row_number().over(Window.partitionBy("symbol").orderBy("nth"))
     ranges = needed.withColumn("island", island).groupBy("symbol", "status", "island")
     return ranges.agg(F.min("session").alias("first"), F.max("session").alias("last"), F.count("*").alias("sessions")).drop("island")
@@ -89,11 +116,8 @@ def refresh_plan(symbols: DataFrame, cached: DataFrame, lineage: DataFrame, sess
 
 def lineage_lookup(bars: DataFrame, lineage: DataFrame) -> DataFrame:
     """Each bar (``symbol, timestamp, source``) with ``acquired_at`` of the first segment of its source that covers its day;
-    null if none does. Segments count in the order of their start and end."""
-    side = lineage.select("symbol", "source", F.col("start").alias("__start"), F.col("end").alias("__end"), "acquired_at")
-    met = bars.select(*KEY, "source").join(side, ["symbol", "source"]).where(F.to_date("timestamp").between(F.col("__start"), F.col("__end")))
-    first = met.groupBy(*KEY, "source").agg(F.min(F.struct("__start", "__end", "acquired_at"))["acquired_at"].alias("acquired_at"))
-    return bars.select(*KEY, "source").join(first, [*KEY, "source"], "left")
+    null if none does. Segments count in the order of their start, end and time."""
+    return first_covering(bars.select(*KEY, "source"), lineage, ["symbol", "source"], F.to_date("timestamp"), "start", "end", {"acquired_at": "acquired_at"}, ["acquired_at"])
 
 
 def merge_lineage(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -111,12 +135,16 @@ def actions_changed(cached: DataFrame, refreshed: DataFrame, relative: float = 1
 
 
 def candle_violation() -> Column:
-    """The first rule for candles that a bar breaks; null if none."""
+    """The first rule for candles that a bar breaks; null if none. Open and close lie within low and high."""
     every = F.lit(True)
     for name in (*PRICES, "volume"):
         every = every & finite(name)
     positive = F.least(*(F.col(p) for p in PRICES)) > 0
-    return F.when(F.col("timestamp").isNull(), "timestamp is missing").when(~every, "values must be finite").when(~positive, "prices must be positive").when(F.col("volume") < 0, "volume must not be negative")
+    rules = F.when(F.col("timestamp").isNull(), "timestamp is missing").when(~every, "values must be finite").when(~positive, "prices must be positive")
+    rules = rules.when(F.col("volume") < 0, "volume must not be negative")
+    for name in ("open", "close"):
+        rules = rules.when(~F.col(name).between(F.col("low"), F.col("high")), f"{name} must be between low and high")
+    return rules
 
 
 def candle_gate(bars: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquet.operators import scans
+from barquet.operators.digest import number_text
+
 PRICES = ("open", "high", "low", "close", "adj_close")
 VALUES = ("open", "high", "low", "close", "volume", "adj_close", "dividend_amount", "split_coefficient")
 KEY = ("symbol", "timestamp")
@@ -61,11 +64,8 @@ def counters(bars: DataFrame) -> DataFrame:
 
 
 def in_ranges(bars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows within any of the ranges (``start, end``, inclusive; few, so they are broadcast after a count)."""
-    if ranges.count() > 10_000:
-        raise ValueError("ranges are a control table; merge them first")
-    r = F.broadcast(ranges.select(F.col("start").alias("__start"), F.col("end").alias("__end")))
-    return bars.join(r, F.col("timestamp").between(F.col("__start"), F.col("__end")), "left_semi")
+    """Rows within any of the ranges (``start, end``, inclusive), however many there are."""
+    return scans.within(bars, ranges, F.col("timestamp"))
 
 
 def coverage(bars: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -133,7 +133,16 @@ def lineage_segments(bars: DataFrame) -> DataFrame:
     return bars.withColumn("fresh", fresh).withColumn("nth", nth).groupBy("symbol", "source", "nth").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count("*").alias("bars")).drop("nth")
 
 
-def action_signature(bars: DataFrame) -> DataFrame:
-    """SHA-256 of each symbol's dividends and splits in order."""
-    acts = bars.where("dividend_amount <> 0 or split_coefficient <> 1").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("timestamp", "dividend_amount", "split_coefficient"))).alias("a"))
-    return bars.select("symbol").distinct().join(acts, "symbol", "left").select("symbol", F.sha2(F.coalesce(F.to_json("a"), F.lit("[]")), 256).alias("signature"))
+def action_signature(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """SHA-256 of each symbol's ``[[date, dividend, split], ...]`` as compact JSON, over all its rows in order of time.
+
+    A dividend that is negative or not finite, or a split that isn't positive and finite, is an error. The digest is one
+    of a sequence, so a symbol's rows meet in a task; ``digest`` has one for tables of any size.
+    """
+    dividend, split = F.col("dividend_amount"), F.col("split_coefficient")
+    wrong = F.when(~finite("dividend_amount") | (dividend < 0), F.raise_error(F.lit("dividend_amount must be finite and not negative")))
+    wrong = wrong.when(~finite("split_coefficient") | (split <= 0), F.raise_error(F.lit("split_coefficient must be finite and positive")))
+    text = F.concat(F.lit('["'), F.to_date("timestamp").cast("string"), F.lit('",'), number_text("dividend_amount"), F.lit(","), number_text("split_coefficient"), F.lit("]"))
+    rows = bars.select(*by, F.struct("timestamp", F.coalesce(wrong.cast("string"), text).alias("text")).alias("row"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["text"]), ",")
+    return rows.groupBy(*by).agg(F.sha2(F.concat(F.lit("["), lines, F.lit("]")), 256).alias("signature"))

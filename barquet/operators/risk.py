@@ -114,11 +114,12 @@ def monthly_returns(equity: DataFrame) -> DataFrame:
 
 
 def return_statistics(equity: DataFrame) -> DataFrame:
-    """Mean, deviation, bias-corrected skewness and excess kurtosis of each run's returns, and both per year."""
+    """Mean, deviation, bias-corrected skewness and excess kurtosis of each run's returns; the mean compounded over a year, and
+    the deviation of a year."""
     r = returns(equity).groupBy("backtest_id").agg(
         F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2")
     )
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
-    return r.select("backtest_id", "n", "mean", "deviation", skew.alias("skewness"), kurt.alias("excess_kurtosis"), (F.col("mean") * PERIODS).alias("annual_return"), (F.col("deviation") * PERIODS**0.5).alias("annual_volatility"))
+    return r.select("backtest_id", "n", "mean", "deviation", skew.alias("skewness"), kurt.alias("excess_kurtosis"), (F.pow(1 + F.col("mean"), F.lit(float(PERIODS))) - 1).alias("annual_return"), (F.col("deviation") * PERIODS**0.5).alias("annual_volatility"))

@@ -335,6 +335,6 @@ SELECT backtest_id, year(m)::BIGINT AS year, {', '.join(f'round(max(CASE WHEN mo
 b AS (SELECT *, lag(equity) OVER (PARTITION BY backtest_id ORDER BY date, id) AS was FROM equity_curve),
 r AS (SELECT backtest_id, (equity - was) / was AS ret FROM b WHERE was <> 0)
 SELECT backtest_id, count(*) AS n, round(avg(ret), 5) + 0 AS mean, round(stddev_samp(ret), 5) AS deviation, round(skewness(ret), 5) + 0 AS skewness, round(kurtosis(ret), 5) + 0 AS excess_kurtosis,
-  round(avg(ret) * 252, 5) + 0 AS annual_return, round(stddev_samp(ret) * sqrt(252), 5) AS annual_volatility FROM r GROUP BY backtest_id""",
+  round(pow(1 + avg(ret), 252) - 1, 5) + 0 AS annual_return, round(stddev_samp(ret) * sqrt(252), 5) AS annual_volatility FROM r GROUP BY backtest_id""",
     "value_quantiles": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
 }
