@@ -67,10 +67,10 @@ def ranges(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Se
     columns = [c for c in (columns or rows.columns) if c not in by]
     named = rows.select(*by, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), _canonical(rows, columns).alias("__row"))
     at = [f"__o{i}" for i in range(len(order))]
-    numbered = running(named, by, [*at, "__row"], {"__nth": ("count", F.lit(1))}, size=size)
-    leaf = numbered.groupBy(*by, F.floor((F.col("__nth") - 1) / fan).alias("range"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__row"))), lambda x: x["__row"]), "\n")
-    return leaf.agg(F.count("*").alias("rows"), F.min_by(at[0], "__nth").alias("first"), F.max_by(at[0], "__nth").alias("last"), F.sha2(lines, 256).alias("digest"))
+    numbered = running(named, by, [*at, "__row"], {"__place": ("count", F.lit(1))}, size=size)
+    leaf = numbered.groupBy(*by, F.floor((F.col("__place") - 1) / fan).alias("range"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "__row"))), lambda x: x["__row"]), "\n")
+    return leaf.agg(F.count("*").alias("rows"), F.min_by(at[0], "__place").alias("first"), F.max_by(at[0], "__place").alias("last"), F.sha2(lines, 256).alias("digest"))
 
 
 def digests(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, fan: int | None = None, size: int | None = None) -> DataFrame:

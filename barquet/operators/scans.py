@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquet.session import scratch
+
 CHUNK = 1_000_000  #: rows of a chunk, at about
 GRAIN = 1024  #: quantiles that chunks are cut at, at most
 RANGES = 256  #: ranges at most that rows are compared with one by one
@@ -28,6 +30,7 @@ def chunked(rows: DataFrame, by: Sequence[str], at: str, size: int | None = None
     """``rows`` with ``__chunk`` (int): rising with ``at`` within a series; and whether any series has more than one.
 
     Only series of more than ``size`` rows are cut, so the cuts are fewer than rows / size, whatever the number of series.
+    The rows are then written to the shared folder, as the steps that follow read them more than once.
     """
     size = CHUNK if size is None else size
     long = rows.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > size)
@@ -40,7 +43,15 @@ def chunked(rows: DataFrame, by: Sequence[str], at: str, size: int | None = None
     cuts = found.withColumn("__stride", stride).withColumn("__cuts", F.array_distinct(F.expr("filter(__all, (x, i) -> (i + 1) % __stride = 0)")))
     cuts = F.broadcast(cuts.select(*by, "__cuts").alias("c"))
     chunk = F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(f"r.{at}"))), F.lit(0))
-    return rows.alias("r").join(cuts, _same("r", "c", by), "left").select("r.*", F.when(F.col("__cuts").isNull(), 0).otherwise(chunk).alias("__chunk")), True
+    own = rows.alias("r").join(cuts, _same("r", "c", by), "left").select("r.*", F.when(F.col("__cuts").isNull(), 0).otherwise(chunk).alias("__chunk"))
+    return written(own), True
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, which is gone when the application ends."""
+    place = scratch(rows.sparkSession)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}

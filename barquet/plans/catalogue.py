@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barquet.plans import acquisition, bars, engine, runs
+from barquet.plans import acquisition, bars, engine, runs, series
 
 FLAGSHIP = "backtest_comparison"
-QUERIES: dict = {**runs.QUERIES, **bars.QUERIES, **acquisition.QUERIES, **engine.QUERIES}
-ORACLE_SQL: dict = {**runs.ORACLE_SQL, **bars.ORACLE_SQL, **acquisition.ORACLE_SQL, **engine.ORACLE_SQL}
+QUERIES: dict = {**runs.QUERIES, **bars.QUERIES, **acquisition.QUERIES, **series.QUERIES, **engine.QUERIES}
+ORACLE_SQL: dict = {**runs.ORACLE_SQL, **bars.ORACLE_SQL, **acquisition.ORACLE_SQL, **series.ORACLE_SQL, **engine.ORACLE_SQL}
