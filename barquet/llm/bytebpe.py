@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,15 @@ from barquet.llm import blocks, tokens
 
 MAPS = 8192  #: maps that the ranks are spread over, so that each is short: a look-up in a map of Spark reads its keys in a row
 BUCKET_BYTES = 8 << 20  #: bytes of text for each bucket of distinct words
-ASKED = "block long, bucket int, words array<string>"
+ASKED = "block long, bucket int, words string"  # the words of a row are lines
+# How words that hold a line feed, or the character that marks this, are written in a line.
+MARKED = (("\x01", "\x01a"), ("\n", "\x01b"))
 SENT = "block long, bucket int, lens array<int>, ids array<int>, body binary"
 MADE = ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")
 
 # White space, and the letters and numbers of Unicode 16 that the regular expressions of Java 17
 # (Unicode 13) don't know as such.
-SPACES = r"\t-\r \x85\xA0  -     　"
+SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 NEW_LETTERS = """
 870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4
 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3 10780-10785 10787-107B0
@@ -179,13 +182,31 @@ def _distinct(rows: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray
     for part in tokens.slices(rows, "__words"):
         data, starts, ends, n = _words(part)
         h = tokens.word_hashes(data, starts, ends)
-        new, first = np.unique(h, return_index=True)
+        place, new = pd.factorize(h)  # no sort of all words
+        first = np.empty(len(new), np.int64)
+        first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
         body = data.tobytes()
         kept.update((k, body[a:b]) for k, a, b in zip(new.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True) if k not in kept)
         hashes.append(h)
         counts.append(n)
-    keys, place = np.unique(blocks.joined(hashes, np.uint64), return_inverse=True)
-    return keys, [kept[k] for k in keys.tolist()], place, blocks.joined(counts, np.int64)
+    place, new = pd.factorize(blocks.joined(hashes, np.uint64))
+    order = np.argsort(new)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    keys = new[order]
+    return keys, [kept[k] for k in keys.tolist()], rank[place], blocks.joined(counts, np.int64)
+
+
+def _line(word: bytes) -> bytes:
+    for plain, marked in MARKED:
+        word = word.replace(plain.encode(), marked.encode())
+    return word
+
+
+def _word(line: Column) -> Column:
+    for plain, marked in reversed(MARKED):
+        line = F.replace(line, F.lit(marked), F.lit(plain))
+    return line
 
 
 def ask(docs: DataFrame, buckets: int) -> DataFrame:
@@ -195,8 +216,8 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
         for name, rows in blocks.cut(batches, "__words"):
             keys, words, _, _ = _distinct(rows)
             found = list(blocks.runs(keys, buckets))
-            edges = np.array([0, *(run_of.stop for _, run_of in found)], np.int32)
-            column = pa.ListArray.from_arrays(pa.array(edges), pa.array(words, pa.binary()).cast(pa.string()))
+            lines = [_line(w) if b"\n" in w or b"\x01" in w else w for w in words]
+            column = pa.array([b"\n".join(lines[run_of]) for _, run_of in found], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array([k for k, _ in found], pa.int32()), column], ["block", "bucket", "words"])
 
     return docs.select("__words").mapInArrow(run, ASKED)
@@ -207,9 +228,10 @@ def answer(asked: DataFrame, tokenizer: Ranks, buckets: int) -> DataFrame:
 
     The rows of a bucket are together, so grouping by word and by block within it needs no further shuffle.
     """
-    each = asked.repartition(buckets, "bucket").select("bucket", "block", F.posexplode("words").alias("nth", "word"))
-    distinct = each.groupBy("bucket", "word").agg(F.collect_list(F.struct("block", "nth")).alias("places"))
-    coded = distinct.select("bucket", "places", encode_word(F.col("word"), tokenizer).alias("ids"))
+    lines = F.split("words", "\n", -1)
+    each = asked.repartition(buckets, "bucket").select("bucket", "block", F.posexplode(lines).alias("nth", "line"))
+    distinct = each.groupBy("bucket", "line").agg(F.collect_list(F.struct("block", "nth")).alias("places"))
+    coded = distinct.select("bucket", "places", encode_word(_word(F.col("line")), tokenizer).alias("ids"))
     placed = coded.select("bucket", "ids", F.explode("places").alias("at")).select("bucket", "at.block", F.struct("at.nth", "ids").alias("a"))
     told = placed.groupBy("bucket", "block").agg(F.sort_array(F.collect_list("a")).alias("a"))
     return told.select("block", "bucket", F.transform("a", lambda x: F.size(x["ids"])).alias("lens"), F.flatten(F.transform("a", lambda x: x["ids"])).alias("ids"))

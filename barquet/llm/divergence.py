@@ -37,7 +37,7 @@ BLOCK_BYTES = 16 << 20  #: bytes of text in a block
 PIECE_BYTES = 4 << 20  #: bytes that are in arrays of words at a time, but for a longer single word
 TILE = 256  #: sources of a side of a task's array
 TERMS = 4096  #: terms whose shares are in an array at a time
-RUNS = 500_000  #: kept (term, source) rows for each task of the scan for pairs
+RUNS = 20_000  #: kept (term, source) rows for each task of the scan for pairs
 SMALL = 20_000  #: sources at most whose totals are broadcast
 COUNTED = "lang string, term string, source string, block long, docs long, n long"
 SUMMED = "lang string, term string, source string, docs long, n long"

@@ -34,7 +34,7 @@ def check(spark, tokenizer, texts):
 def test_random_texts(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
     rng = random.Random(3)
-    parts = ["the", "The", " ", "  ", "\n", "\r\n", "\t", "\x85", "\xa0", " ", "​", "é", "é", "Σ", "'s", "'S", "'ll", "''re", "12", "½", "²", "!!", "...", "日本", "한국어", "नमस्ते", "😀", "‍", "<|endoftext|>", "x" * 40, "ﬁ", "Ⅻ", "Ᲊ", "\U00010d40", "\U00013460", "\x00", "_", "--", "abab"]
+    parts = ["the", "The", " ", "  ", "\n", "\r\n", "\t", "\x85", "\xa0", " ", "​", "é", "é", "Σ", "'s", "'S", "'ll", "''re", "12", "½", "²", "!!", "...", "日本", "한국어", "नमस्ते", "😀", "‍", "<|endoftext|>", "x" * 40, "ﬁ", "Ⅻ", "Ᲊ", "\U00010d40", "\U00013460", "\x00", "\x01", "\x01a", "\x01b", "\x01\n", "_", "--", "abab"]
     check(spark, tokenizer, ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(300)])
 
 
