@@ -4,7 +4,7 @@ Words that speak of licensing, with as many words around them as a template has,
 lengths, for short and long templates); where they run into each other, a block is cut into pieces that overlap by a
 template's length. A piece is compressed on its own and once with each template as a zstandard raw dictionary: the share of their own information that the piece saves
 ranks the templates. Each one that saves enough is compared word by word with the piece, a stretch of about its length at
-a time, and is confirmed wherever a stretch has few words missing or put in between. Of confirmed stretches that
+a time, and is confirmed wherever a stretch has few words missing or put in between, none of which tells licenses apart. Of confirmed stretches that
 overlap, the one that explains most words best is told. If a block has none, the template that saves most is named as
 unconfirmed.
 """
@@ -24,6 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Licenses as files are tagged with them.
+TAGS = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense",
+)
+
 #: Wordings of license notices and whole texts, or how long texts begin. A license may have several.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -51,8 +57,25 @@ TEMPLATES = (
     ("Apache-2.0", 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'),
     ("GPL-3.0", 'The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.'),
     ("GPL-2.0", 'The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.'),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in TAGS),
 )
 
+#: Words that tell a license from its neighbours. So do numbers of versions, see ``decides``.
+DECISIVE = frozenset(
+    "affero lesser sharealike share-alike attribution-sharealike noncommercial attribution-noncommercial noderivatives noderivs attribution-noderivatives "
+    "apache artistic bsd cc0 eclipse eupl isc mit mozilla only".split()
+)
+
 #: What makes a word a candidate; the same pattern runs in Spark, to skip texts without one, and in tasks. Every template
 #: has such a word.
 TRIGGER = r"(?i)licen[cs]|copyright|redistribut"
@@ -77,7 +100,7 @@ FOUND = T.StructType(
 
 def placed(text: str) -> list[tuple[str, int, int]]:
     """Words as they are compared - lower case, without punctuation at their ends - and where they begin and end."""
-    found = ((x[0].strip("\"'.,;:()[]*#/!-").lower(), x.start(), x.end()) for x in re.finditer(r"\S+", text))
+    found = ((x[0].strip("\"'.,;:()[]*#/!->|").lower(), x.start(), x.end()) for x in re.finditer(r"\S+", text))
     return [x for x in found if x[0]]
 
 
@@ -145,8 +168,8 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return aligned(template, block)[:2]
 
 
-def _stretches(template: list[str], block: list[str]) -> Iterator[tuple[list[str], list[str], int, int]]:
-    """Each stretch of the block that differs little from the template, as ``aligned``."""
+def _stretches(template: list[str], block: list[str], license: str) -> Iterator[tuple[list[str], list[str], int, int]]:
+    """Each stretch of the block that differs little from the template, and in no word that decides, as ``aligned``."""
     most = MOST_DIFFERENT * len(template)
     bag = Counter(template)
     if (bag - Counter(block)).total() > most:
@@ -156,10 +179,18 @@ def _stretches(template: list[str], block: list[str]) -> Iterator[tuple[list[str
         part = block[at : at + size]
         if (bag - Counter(part)).total() <= most:
             missing, extra, a, b = aligned(template, part)
-            if len(missing) + len(extra) <= most:
+            if len(missing) + len(extra) <= most and not any(decides(w, license) for w in (*missing, *extra)):
                 yield missing, extra, at + a, at + b
 
 
+def decides(word: str, license: str) -> bool:
+    """Whether a word that is missing or put in between makes it another license: a name of one, or a number of a version.
+
+    Numbers without a point number sections too, so they only count for the licenses that name versions by them.
+    """
+    return word in DECISIVE or bool(re.fullmatch(r"v?\d+\.\d[\d.]*", word)) or "GPL" in license and bool(re.fullmatch(r"v?\d", word))
+
+
 def blocks(found: list[str], reach: int) -> list[tuple[int, int]]:
     """Candidate blocks among the words of a text: all words within reach of a trigger."""
     spans: list[list[int]] = []
@@ -216,7 +247,7 @@ def licenses(text: str) -> Iterator[tuple[int, int, str, bool, float, str, str]]
                 if gain < LEAST_GAIN:
                     break
                 name, template = _judges()[at][:2]
-                for missing, extra, i, j in _stretches(template, mine[x:y]):
+                for missing, extra, i, j in _stretches(template, mine[x:y], name):
                     worth = len(template) - 5 * (len(missing) + len(extra))
                     matches.append((-worth, x + i, x + j, name, gain, missing, extra))
     told = _apart(matches)

@@ -67,7 +67,7 @@ def everywhere(text):
                 most = L.MOST_DIFFERENT * len(template)
                 for at in range(a, b):
                     missing, extra, i, j = L.aligned(template, mine[at : min(b, at + len(template) + int(most) + 1)])
-                    if len(missing) + len(extra) <= most:
+                    if len(missing) + len(extra) <= most and not any(L.decides(w, name) for w in (*missing, *extra)):
                         out.append((5 * (len(missing) + len(extra)) - len(template), at + i, at + j, name, 0.0, missing, extra))
     return sorted((around[i][1], around[j - 1][2], name) for _, i, j, name, *_ in L._apart(out))
 
@@ -110,11 +110,40 @@ def test_wrapped_notices(spark):
     for width in (20, 33, 50, 66, 72, 79):
         for comment in ("", " * ", "# "):
             for k, (_, text) in enumerate(L.TEMPLATES):
-                lines = [comment + x for x in textwrap.wrap(text, width)]
+                lines = [comment + x for x in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False)]
                 rows.append((k, "\n".join(["first of all the words", "of a file", *lines, "and then the rest of it", "or any more"])))
     got = L.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, k int, text string")).collect()
     times = Counter((r.doc_id, r.license) for r in got if r.confirmed)
     assert [i for i, (k, _) in enumerate(rows) if times[i, L.TEMPLATES[k][0]] != 1] == []
-    mpl = [r for r in got if L.TEMPLATES[r.k][0] == "MPL-2.0" and r.confirmed]
+    mpl = [r for r in got if "Source Code Form" in L.TEMPLATES[r.k][1] and r.confirmed]
     assert all("This Source Code Form" in r.text[r.start : r.end].replace("\n", " ").replace(" * ", " ").replace(" # ", " ").replace("  ", " ") for r in mpl)
     assert {r.doc_id for r in got if not r.confirmed} == set()
+
+
+NEIGHBOURS = {
+    "Licensed under the Apache License, Version 1.1.": None,
+    L.TEMPLATES[4][1].replace("2.0", "1.1"): None,
+    "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-\n# ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution 3.0 International License.": None,
+    "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.": None,
+    "This work is licensed under the GNU General Public License, version 2.": None,
+    "This work is licensed under the GNU Affero General Public License, version 3.": None,
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": None,
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only",
+    "SPDX-License-Identifier: WTFPL": None,
+}
+
+
+def test_neighbours_are_told_apart():
+    for text, name in NEIGHBOURS.items():
+        for whole in (text, f"some words\n# {text}\nmore words", f"> {text}"):
+            assert {r[2] for r in L.licenses(whole) if r[3]} == ({name} if name else set()), whole
+
+
+def test_every_template_is_only_itself():
+    """No wording is confirmed as another license, alone or quoted."""
+    for name, text in L.TEMPLATES:
+        for whole in (text, "\n".join("> " + x for x in textwrap.wrap(text, 60, break_on_hyphens=False)), "\n".join("| " + x for x in textwrap.wrap(text, 40, break_on_hyphens=False))):
+            assert {r[2] for r in L.licenses(whole) if r[3]} == {name}, (name, whole[:80])
