@@ -6,8 +6,9 @@ slots) give each of these a log-probability. A Viterbi pass over the words, in w
 fixed penalty, then labels each word; runs of a label are the spans of a text, and the label of most letters is its
 language.
 
-The model is small, whatever the input: ``KINDS * SLOTS`` numbers for each language, of which there are ``MAX_LANGUAGES``
-at most. It is fitted on about ``per_language`` labelled texts of each language at most, taken by a hash of the text;
+The model is small, whatever the input: ``KINDS * SLOTS`` numbers for each language. Every label is learned; beyond
+``FULL`` labels neighbouring slots are shared, so that the model, and what a task holds, stay as large (down to ``LEAST_SLOTS`` slots
+of a kind, which are 8 KB a label). It is fitted on about ``per_language`` labelled texts of each language at most, taken by a hash of the text;
 everything is predicted.
 """
 
@@ -29,7 +30,7 @@ from barquet.llm import tokens
 
 UNDETERMINED = "und"
 SLOTS, KINDS = 1 << 15, 4
-MAX_LANGUAGES = 64
+FULL, LEAST_SLOTS = 64, 1 << 8  #: labels with all slots to themselves; slots of a kind that labels have at least
 READ_BYTES, LABEL_BYTES = 1 << 20, 6 << 20  #: bytes of text whose letters, and whose words, a task holds in arrays
 
 #: Code point ranges of scripts. Letters outside them form one more group.
@@ -124,14 +125,16 @@ def read_words(texts: pa.Array) -> Words:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  #: KINDS x SLOTS x languages, log-probabilities over KINDS
+    weights: np.ndarray  #: KINDS x (SLOTS >> shift) x languages, log-probabilities over KINDS
     scripts: np.ndarray  #: scripts x languages, whether the language uses the script
     prior: np.ndarray
     penalty: float
+    shift: int = 0  #: so many bits of a slot don't count
 
     def scores(self, words: Words) -> np.ndarray:
         n = len(words.letters)
-        out = self.weights[2][words.slots[2]] + self.weights[3][words.slots[3]]
+        slots = [x >> self.shift for x in words.slots]
+        out = self.weights[2][slots[2]] + self.weights[3][slots[3]]
         if n:
             first = np.searchsorted(words.of_char, np.arange(n))
             step = max(1, (1 << 22) // len(self.languages))
@@ -139,7 +142,7 @@ class Model:
             for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True):  # bounded rows at a time
                 if b > a:
                     part = slice(first[a], first[b] if b < n else None)
-                    out[a:b] += np.add.reduceat(self.weights[0][words.slots[0][part]] + self.weights[1][words.slots[1][part]], first[a:b] - first[a])
+                    out[a:b] += np.add.reduceat(self.weights[0][slots[0][part]] + self.weights[1][slots[1][part]], first[a:b] - first[a])
         allowed = self.scripts[words.script]
         return np.where(allowed.any(1)[:, None], np.where(allowed, out, -1e4), 0.0).astype(np.float32)
 
@@ -153,11 +156,12 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, prior: np.ndarray, penalty
     order = np.argsort(-per_text, kind="stable")
     order = order[per_text[order] > 0]
     starts, lengths = begin[order], per_text[order]
-    labels = np.zeros(len(scores), np.int16)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    labels = np.zeros(len(scores), kind)
     if not len(order):
         return labels
     running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    stay, source = np.ones(scores.shape, bool), np.zeros(len(scores), np.int16)
+    stay, source = np.ones(scores.shape, bool), np.zeros(len(scores), kind)
     best = scores[starts].astype(np.float64) + prior
     for t in range(1, lengths[0]):
         n = running[t]
@@ -179,31 +183,35 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, prior: np.ndarray, penalty
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000, penalty: float = 6.0) -> Model:
     """Learn from rows whose text and ``lang`` aren't null, about ``per_language`` of each language at most.
 
-    Where no row is labelled there is nothing to learn, and the model calls every text ``und``. Of more than
-    ``MAX_LANGUAGES`` labels those of most rows are learned (ties: the smaller names).
+    Where no row is labelled there is nothing to learn, and the model calls every text ``und``. All labels are learned.
     """
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    most = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
-    counts = {r.lang: r["count"] for r in most.collect()}
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((KINDS, SLOTS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), np.zeros(0), penalty)
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))))
-    usable = usable.where(F.col("lang").isin(languages))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    rows = usable.where(drawn).mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    scripts = KINDS * SLOTS
+    spark, shift = docs.sparkSession, 0
+    while len(languages) > FULL << shift and SLOTS >> (shift + 1) >= LEAST_SLOTS:
+        shift += 1
+    share = spark.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in languages], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    slot = F.when(F.col("slot") < KINDS * SLOTS, F.shiftright("slot", shift)).otherwise(F.col("slot") - KINDS * (SLOTS - (SLOTS >> shift))).cast("int")
+    counted = usable.join(F.broadcast(share), "lang").where(drawn).select("text", "lang").mapInArrow(_count, "lang string, slot int, n long")
+    rows = counted.groupBy("lang", slot.alias("slot")).agg(F.sum("n").alias("n")).toArrow()
+    slots = SLOTS >> shift
+    scripts = KINDS * slots
     table = np.zeros((scripts + N_SCRIPTS, len(languages)))
     who = np.searchsorted(languages, rows["lang"].to_pylist()) if rows.num_rows else np.zeros(0, int)
     table[rows["slot"].to_numpy(), who] = rows["n"].to_numpy()
     letters = table[scripts:]
-    grams = table[:scripts].reshape(KINDS, SLOTS, len(languages)) + 0.5
+    grams = table[:scripts].reshape(KINDS, slots, len(languages)) + 0.5
     return Model(
         languages,
         (np.log(grams / grams.sum(1, keepdims=True)) / KINDS).astype(np.float32),
         letters >= 0.01 * np.maximum(letters.sum(0), 1),
         np.log([max(counts[k], 1) / sum(counts.values()) for k in languages]),
         penalty,
+        shift,
     )
 
 
@@ -241,19 +249,24 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "__text", LABEL_BYTES):
+            for part in tokens.slices(batch, "__text", _fewer(LABEL_BYTES, model)):
                 columns = _label(part, model)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], [*keep, *made])
 
     return carried.mapInArrow(label, schema)
 
 
+def _fewer(limit: int, model: Model) -> int:
+    """Bytes of text at a time, of which each word has a number for each language."""
+    return max(1 << 14, limit * FULL // max(FULL, len(model.languages)))
+
+
 def _label(part: pa.RecordBatch, model: Model) -> list[pa.Array]:
     n_lang, n = len(model.languages), part.num_rows
     if not n_lang:
         return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
     pieces = []
-    for p in tokens.slices(part, "__text", READ_BYTES):
+    for p in tokens.slices(part, "__text", _fewer(READ_BYTES, model)):
         w = read_words(p["__text"])
         pieces.append((model.scores(w), w.per_text, w.letters.astype(np.int32), w.first.astype(np.int32), w.last.astype(np.int32), w.script))
     scores, per_text, letters, first, last, script = (np.concatenate(x) for x in zip(*pieces, strict=True))
