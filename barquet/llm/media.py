@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 #: Payloads are padded to whole rows of this many samples, and to whole blocks of this many bytes.
 WIDTH, BLOCK, PAD = 24, 576, 255
 TILE = 16
+PART_BYTES = 8 << 20  #: bytes of texts or files that are copied at a time
+STRIP = 1 << 20  #: samples of a strip
 
 
 def encode(payload: bytes) -> bytes:
@@ -122,19 +125,28 @@ def _bmp(file: bytes) -> np.ndarray:
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over ``height x width`` equal boxes of the image; samples that a box cuts count by their share."""
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1, *image.shape[2:]))
-    np.cumsum(image, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+    """Means over ``height x width`` equal boxes of the image; samples that a box cuts count by their share.
 
-    def at(total: np.ndarray, axis: int, n: int) -> np.ndarray:
-        place = np.linspace(0, image.shape[axis], n + 1)
-        low = np.minimum(place.astype(int), image.shape[axis] - 1)
-        part = (place - low).reshape([-1 if k == axis else 1 for k in range(total.ndim)])
-        return np.take(total, low, axis) * (1 - part) + np.take(total, low + 1, axis) * part
-
-    boxes = np.diff(np.diff(at(at(sums, 0, height), 1, width), axis=0), axis=1)
-    return boxes * (height * width / (image.shape[0] * image.shape[1]))
+    The integral image is made of strips of rows, one after the other: of a strip only what it adds to each box is kept.
+    """
+    n_rows, n_columns = image.shape[:2]
+    edges = np.linspace(0, n_rows, height + 1)
+    across = np.linspace(0, n_columns, width + 1)
+    low = np.minimum(across.astype(int), n_columns - 1)
+    part = (across - low).reshape(-1, *[1] * (image.ndim - 2))
+    boxes = np.zeros((height, width, *image.shape[2:]))
+    step = max(1, STRIP // max(1, n_columns * math.prod(image.shape[2:])))
+    for top in range(0, n_rows, step):
+        strip = image[top : top + step]
+        sums = np.zeros((len(strip) + 1, n_columns + 1, *image.shape[2:]))
+        np.cumsum(strip, axis=0, dtype=np.float64, out=sums[1:, 1:])
+        np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+        columns = np.diff(np.take(sums, low, 1) * (1 - part) + np.take(sums, low + 1, 1) * part, axis=1)
+        place = np.clip(edges - top, 0, len(strip))
+        row = np.minimum(place.astype(int), len(strip) - 1)
+        share = (place - row).reshape(-1, *[1] * (image.ndim - 1))
+        boxes += np.diff(columns[row] * (1 - share) + columns[row + 1] * share, axis=0)
+    return boxes * (height * width / (n_rows * n_columns))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -163,7 +175,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
     schema = T.StructType([*(source.schema[c] for c in rest), T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _bounded(batches):
+        for part in _bounded(batches, "__body"):
             bodies = [x or b"" for x in part["__body"].to_pylist()]
             files = [encode(b.ljust(max(1, -(-len(b) // BLOCK)) * BLOCK, bytes([PAD]))) for b in bodies]
             made = [pa.array([len(b) for b in bodies], pa.int64()), pa.array(files, pa.binary())]
@@ -209,7 +221,7 @@ def features(rows: DataFrame, media: str = "media") -> DataFrame:
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, dhash(tile), npy(tile))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _bounded(batches):
+        for part in _bounded(batches, "__media"):
             made = zip(*map(one, part["__media"].to_pylist()), strict=True)
             columns = [pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *columns], schema.names)
@@ -217,8 +229,15 @@ def features(rows: DataFrame, media: str = "media") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that copies of their bytes stay small."""
+def _bounded(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes of ``column``, so that copies of them stay small; a longer value is a part of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy()
+        at = held = 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > at and (k - at == rows or held + n > size):
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
