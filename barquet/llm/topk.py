@@ -6,8 +6,8 @@ shares of the score only fall. Rounds read all lists to the same growing depth.
 gives its lower bound, together with the lists' far ends for the rest; the lists' current ends for the rest give
 its upper bound. The k-th score or lower bound so far (of this block or of blocks before it) is the bar: as soon as few
 candidates, and no unseen ones, have an upper bound that reaches it, their final scores are resolved and the best
-are kept. Blocks are short, so that a bar is there soon: a task's first block is read to the end, later ones to about two
-thirds.
+are kept. Blocks are short, so that a bar is there soon, but a task's first block is read to the end, and the bounds exclude
+little before the eighth: tables of two blocks are read nearly whole (the test has the shares).
 
 The depth of a round is the same for all queries, so a block's lists are read once for all queries: the entries read so
 far, with the bounds in the place of those that aren't, are a matrix for each end of the lists, and the bounds of all
@@ -229,6 +229,14 @@ def _meet(k: int):
     return run
 
 
+def _of_no_component(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The same for vectors without components, whose products are all 0: the candidates of the smallest ids."""
+    given = candidates.where("size(vector) = 0").groupBy("id").agg(F.least(F.count("*"), F.lit(k)).alias("n")).orderBy("id").limit(k + 1)
+    first = F.broadcast(given.select(F.col("id").alias("vec_id"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("zero")))
+    asked = queries.where("size(vector) = 0").select(F.col("id").alias("query_id"), F.xxhash64("vector").alias("tag")).distinct()
+    return asked.join(first, F.col("query_id") != F.col("vec_id")).select("query_id", "tag", "vec_id", F.lit(0).cast("long").alias("score"))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The k candidates of largest inner product for each query: ``query_id, rank, vec_id, score``.
 
@@ -238,8 +246,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     row; a query that is repeated with the same vector counts once, with another vector it gets a ranking of its own
     under the same id; a repeated candidate counts each time. Scores beyond a long are its ends, and so are ties there.
     """
-    usable = "id is not null and vector is not null and size(vector) > 0"
+    usable = "id is not null and vector is not null"
     tag = F.xxhash64("vector").alias("tag")
+    bare = _of_no_component(queries.where(usable), candidates.where(usable), k)
+    usable += " and size(vector) > 0"
     asked = queries.where(usable).select(F.lit(0).alias("role"), "id", tag, "vector").dropDuplicates(["id", "vector"])
     given = candidates.where(usable).select(F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("tag"), "vector")
     n_queries, n_given = asked.count(), given.count()
@@ -253,4 +263,4 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     met = ask.select(cell.alias("cell"), "role", "part", "dim", "ids", "vectors").unionByName(give.select(cell.alias("cell"), "role", "part", "dim", "ids", "vectors"))
     pairs = met.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "dim", "role", "part").mapInArrow(_meet(k), "query_id long, tag long, vec_id long, score long")
     best = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.unionByName(bare).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
