@@ -28,7 +28,7 @@ def _of(frame: DataFrame, **wanted) -> DataFrame:
 
 
 def _scoped(frame: DataFrame, run_ids: list[str] | None, column: str = "backtest_id") -> DataFrame:
-    return frame if run_ids is None else frame.where(F.array_contains(F.lit(run_ids), F.col(column)))
+    return frame if run_ids is None else frame.where(F.col(column).isin(run_ids))
 
 
 def _pivoted(metrics: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -56,18 +56,18 @@ def report(tables: analytics.Tables, tolerance: float = 0.02, samples: int = SAM
             child_states,
             twice(analytics.integrity_duplicate_metrics(tables, run_ids), "DUPLICATE_METRIC_KEYS"),
             twice(analytics.integrity_duplicate_equity(tables, run_ids), "DUPLICATE_EQUITY_TIMESTAMPS"),
-            defect(orphans),
-            defect(orphans).withColumn("code", F.lit("FOREIGN_KEY_CHECK")),
+            orphans.select(F.explode(F.array("defect_code", F.lit("FOREIGN_KEY_CHECK"))).alias("code"), c("record_id").alias("record")),
             defect(analytics.integrity_invalid_records(tables, run_ids)),
             defect(analytics.integrity_metric_reconciliation(tables, run_ids, tolerance)),
         ],
     )
-    # The first samples of a code by id: ranked within salted parts, so that no code's rows meet in one task.
-    salt = F.pmod(F.xxhash64("record"), F.lit(64)).alias("salt")
+    # Rows are counted by id, and the ids of a code ranked within salted parts, so that no code's rows meet in one task and
+    # nothing is computed twice.
+    salt = F.pmod(F.xxhash64("record"), F.lit(64))
     nth = F.row_number().over(Window.partitionBy("code", "salt").orderBy("record"))
-    few = found.select("code", "record", salt).distinct().withColumn("nth", nth).where(F.col("nth") <= samples)
-    first = few.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("record")), 1, samples).alias("ids"))
-    counted = found.groupBy("code").agg(F.count("*").alias("n")).join(first, "code", "left").select("code", "n", "ids")
+    ranked = found.groupBy("code", "record").agg(F.count("*").alias("n")).withColumn("salt", salt).withColumn("nth", nth)
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.col("record")))), 1, samples)
+    counted = ranked.groupBy("code").agg(F.sum("n").alias("n"), first.alias("ids")).select("code", "n", "ids")
     counts = analytics.integrity_table_counts(tables).select(F.concat(F.lit("TABLE_COUNT_"), F.upper("table_name")).alias("code"), c("row_count").alias("n"), F.array().cast("array<string>").alias("ids"))
     wrong = [f"{n}: {d}" for n, pinned in TABLES.items() for d in differences(tables[n].schema, pinned)]
     schema = spark.createDataFrame([("SCHEMA_CHECK", len(wrong), wrong[:samples])], "code string, n long, ids array<string>")

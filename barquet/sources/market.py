@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barquet.session import table
+from barquet.session import scratch, table
 
 CAPITAL_STEP = 10_000
 #: What the synthetic runs are called.
@@ -113,8 +113,19 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tall.select((u * 100 + F.col("m.k")).alias("id"), _run_id().alias("backtest_id"), "m.metric_name", "m.metric_value")
 
 
+#: Where the run tables of an application's inputs have been written.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {f.__name__: f(spark, sf_dir) for f in (backtest_runs, trades, equity_curve, metrics)}
+    """The four run tables, made out of the events once in an application and then read, as those of a store are."""
+    made, key = (backtest_runs, trades, equity_curve, metrics), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        place = scratch(spark)
+        for f in made:
+            f(spark, sf_dir).write.parquet(f"{place}/{f.__name__}")
+        _WRITTEN[key] = place
+    return {f.__name__: spark.read.parquet(f"{_WRITTEN[key]}/{f.__name__}") for f in made}
 
 
 def with_defects(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
-"""The fold against hand-calculated scenarios."""
+"""The fold against its rules, worked out in plain loops over random walks."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -12,7 +13,7 @@ FREE = B.Config(initial_capital=1000.0, commission_pct=0.0, slippage_pct=0.0)
 
 
 def frame(*rows):
-    day = dt.datetime(2023, 1, 2)
+    day = dt.datetime(2022, 5, 2)
     made = [(day + dt.timedelta(i), *r, r[3]) for i, r in enumerate(rows)]
     return pd.DataFrame(made, columns=["timestamp", "open", "high", "low", "close", "adj_close"]).astype({c: float for c in ("open", "high", "low", "close", "adj_close")})
 
@@ -31,49 +32,77 @@ def at(bars, i):
     return bars["timestamp"].iloc[i]
 
 
-def test_market_order_fills_at_next_open():
-    bars = frame((100, 101, 99, 100), (110, 111, 109, 110), (120, 121, 119, 120))
-    trades, _, _ = fold(bars, on0=B.Signal("LONG"), on1=B.Signal("SHORT"))
-    t = trades.iloc[0]
-    assert t.entry_date == at(bars, 1) and t.entry_price == pytest.approx(110 * 1.0005) and t.exit_date == at(bars, 2)
+def walk(seed, n=30):
+    """Bars of a random walk, as (open, high, low, close)."""
+    rng, price, rows = random.Random(seed), 37.0, []
+    for _ in range(n):
+        begin, end = price * (1 + rng.uniform(-0.03, 0.03)), price * (1 + rng.uniform(-0.05, 0.05))
+        rows.append((begin, max(begin, end) * 1.01, min(begin, end) * 0.985, end))
+        price = end
+    return rows
 
 
-def test_limit_order_waits():
-    bars = frame((100, 105, 99, 103), (103, 104, 101, 102), (98, 100, 95, 99), (100, 102, 99, 101))
-    trades, _, _ = fold(bars, on0=B.Signal("LONG", "LIMIT", 99.0), on2=B.Signal("SHORT"))
-    assert trades.iloc[0].entry_date == at(bars, 2) and trades.iloc[0].exit_date == at(bars, 3)
+SLIP = B.Config().slippage_pct
 
 
-def test_stop_order_waits():
-    bars = frame((100, 101, 99, 100), (100, 104, 99, 100), (100, 105, 99, 104), (110, 111, 109, 110))
-    trades, _, _ = fold(bars, on0=B.Signal("LONG", "STOP", 105.0), on2=B.Signal("SHORT"))
+@pytest.mark.parametrize("seed", range(5))
+def test_market_orders_fill_at_the_next_open(seed):
+    rows = walk(seed)
+    bars, i, j = frame(*rows), 2 + seed, 11 + 3 * seed
+    trades, _, _ = fold(bars, B.Config(), B.fixed_quantity(7), **{f"on{i}": B.Signal("LONG"), f"on{j}": B.Signal("SHORT")})
     t = trades.iloc[0]
-    assert t.entry_date == at(bars, 2) and t.entry_price == pytest.approx(105 * 1.0005) and t.exit_date == at(bars, 3)
-
-
-def test_borrowing_costs_the_mark_before():
-    config = B.Config(initial_capital=1000.0, commission_pct=0.0, slippage_pct=0.0, annual_short_borrow_rate=0.365)
-    bars = frame((100, 101, 99, 100), (100, 201, 99, 200), (50, 51, 49, 50))
-    _, equity, _ = fold(bars, config, on0=B.Signal("SHORT"))
-    assert equity.equity.iloc[-1] == pytest.approx(1049.8)
-
-
-def test_margin_call_covers_on_the_next_bar():
-    config = B.Config(initial_capital=1000.0, commission_pct=0.0, slippage_pct=0.0, annual_short_borrow_rate=0.0)
-    bars = frame((100, 100, 100, 100), (100, 1000, 100, 1000), (1100, 1110, 1090, 1100))
-    trades, _, _ = fold(bars, config, on0=B.Signal("SHORT"))
-    assert len(trades) == 1 and trades.iloc[0].exit_date == at(bars, 2) and trades.iloc[0].exit_price == 1100
-    assert len(fold(bars.iloc[:2], config, on0=B.Signal("SHORT"))[0]) == 0
-
-
-def test_short_accounting():
-    a = B.Account(B.Config(initial_capital=10_000.0, commission_pct=0.001))
-    assert a.fill(B.Order("SHORT", 10), 100.0, pd.Timestamp("2023-01-02"))[0] == "opened"
-    assert (a.cash, a.collateral, a.equity) == pytest.approx((9_499, 1_500, 9_999))
-    a.mark = 125.0
-    assert (a.equity + 1) / (10 * 125) == pytest.approx(7.8)
-    _, trade = a.fill(B.Order("LONG", 10), 90.0, pd.Timestamp("2023-01-05"))
-    assert trade["pnl"] == pytest.approx(100 - 1 - 0.9) and a.collateral == 0
+    assert (t.entry_date, t.exit_date) == (at(bars, i + 1), at(bars, j + 1))
+    assert t.entry_price == pytest.approx(rows[i + 1][0] * (1 + SLIP)) and t.exit_price == pytest.approx(rows[j + 1][0] * (1 - SLIP))
+
+
+@pytest.mark.parametrize("share", [0.999, 0.98, 0.95, 0.9])
+@pytest.mark.parametrize("kind", ["LIMIT", "STOP"])
+@pytest.mark.parametrize("seed", range(4))
+def test_orders_with_a_price_wait_for_it(seed, kind, share):
+    """A buying limit below, or a buying stop above the market, fills on the first bar that reaches it, or never."""
+    rows = walk(10 + seed, 60)
+    bars, price = frame(*rows), rows[1][3] * (share if kind == "LIMIT" else 2 - share)
+    reach = [k for k in range(2, 60) if (rows[k][2] <= price if kind == "LIMIT" else rows[k][1] >= price)]
+    _, _, out = fold(bars, on1=B.Signal("LONG", kind, price), on58=B.Signal("SHORT"))
+    trades = out[out.kind == "trade"]
+    if not reach or reach[0] > 58:
+        assert len(trades) == 0 or trades.iloc[0].entry_date == at(bars, 59)
+        return
+    first = rows[reach[0]][0]
+    want = (min(price, first * (1 + SLIP)) if first <= price else price) if kind == "LIMIT" else max(first, price) * (1 + SLIP)
+    assert trades.iloc[0].entry_date == at(bars, reach[0]) and trades.iloc[0].entry_price == pytest.approx(want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_borrowing_costs_the_mark_before(seed):
+    rows, q, rate = walk(20 + seed, 12), 3, 0.21
+    config = B.Config(initial_capital=7_000.0, commission_pct=0.0, slippage_pct=0.0, annual_short_borrow_rate=rate)
+    _, equity, _ = fold(frame(*rows), config, B.fixed_quantity(q), on0=B.Signal("SHORT"))
+    paid = sum(q * rows[k - 1][3] * rate / 365 for k in range(2, 12))
+    assert equity.equity.iloc[-1] == pytest.approx(7_000 + q * (rows[1][0] - rows[-1][3]) - paid)
+
+
+def test_a_short_that_loses_its_margin_is_covered_on_the_next_bar():
+    config = B.Config(initial_capital=500.0, commission_pct=0.0, slippage_pct=0.0, annual_short_borrow_rate=0.0)
+    calm, jump, after = (40, 42, 39, 41), (41, 310, 40, 300), (280, 320, 270, 290)  # two shares: 500 + 2 (40 - 300) is less than nothing
+    bars = frame(calm, calm, jump, after, after)
+    trades, _, _ = fold(bars, config, B.fixed_quantity(2), on0=B.Signal("SHORT"))
+    assert [(t.exit_date, t.exit_price) for t in trades.itertuples()] == [(at(bars, 3), 280)]
+    assert len(fold(bars.iloc[:3], config, B.fixed_quantity(2), on0=B.Signal("SHORT"))[0]) == 0
+    assert len(fold(frame(calm, calm, (41, 60, 40, 55), after), config, B.fixed_quantity(2), on0=B.Signal("SHORT"))[0]) == 0
+
+
+@pytest.mark.parametrize("capital, q, price, back, rate, margin", [(6_200.0, 4, 250.0, 231.5, 0.002, 1.5), (900.0, 3, 12.5, 14.0, 0.0, 1.25), (50_000.0, 75, 88.0, 61.25, 0.0007, 2.0)])
+def test_short_accounting(capital, q, price, back, rate, margin):
+    """The proceeds and the margin beyond them are put aside; what it costs to open and close is lost."""
+    a = B.Account(B.Config(initial_capital=capital, commission_pct=rate, short_initial_margin=margin))
+    worth, cost = q * price, q * price * rate
+    assert a.fill(B.Order("SHORT", q), price, pd.Timestamp("2022-05-03"))[0] == "opened"
+    assert (a.cash, a.collateral, a.equity) == pytest.approx((capital - (margin - 1) * worth - cost, margin * worth, capital - cost))
+    a.mark = 1.3 * price
+    assert a.equity == pytest.approx(capital - cost - 0.3 * worth)
+    _, trade = a.fill(B.Order("LONG", q), back, pd.Timestamp("2022-05-09"))
+    assert trade["pnl"] == pytest.approx(q * (price - back) - cost - q * back * rate) and a.collateral == 0
 
 
 def test_order_that_costs_too_much_is_rejected():
@@ -88,9 +117,16 @@ def test_pending_order_ends_with_the_data():
     assert len(trades) == 0 and all_.note.iloc[-1] == "cancelled_end_of_data"
 
 
-def test_rsi_values():
-    got = B.wilder_rsi(pd.Series([100, 102, 101, 104, 103, 105.0]).to_numpy(), 3)
-    assert got[3:] == pytest.approx([83.3333, 66.6667, 79.1667], abs=1e-4)
+@pytest.mark.parametrize("period", [2, 5, 14])
+def test_rsi_equals_the_recursion(period):
+    prices = [r[3] for r in walk(31, 80)]
+    ups, downs = ([max(s * (y - x), 0) for x, y in zip(prices, prices[1:], strict=False)] for s in (1, -1))
+    gain, loss, want = sum(ups[:period]) / period, sum(downs[:period]) / period, []
+    for k in range(period - 1, len(ups)):
+        if k >= period:
+            gain, loss = (gain * (period - 1) + ups[k]) / period, (loss * (period - 1) + downs[k]) / period
+        want.append(100 * gain / (gain + loss))
+    assert B.wilder_rsi(pd.Series(prices).to_numpy(), period)[period:] == pytest.approx(want)
 
 
 def test_kelly_falls_back_and_caps():
