@@ -25,6 +25,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,31 +177,20 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, at[:-1], at[1:], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _distinct(rows: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Of a block: sorted hashes of its distinct words, these words, the place of each word among them, and numbers of words by row."""
-    hashes, kept, counts = [], {}, []
+def _distinct(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: sorted hashes of its distinct words, where each comes first, the place of each word among them, and numbers of words by row."""
+    hashes, counts = [], []
     for part in tokens.slices(rows, "__words"):
         data, starts, ends, n = _words(part)
-        h = tokens.word_hashes(data, starts, ends)
-        place, new = pd.factorize(h)  # no sort of all words
-        first = np.empty(len(new), np.int64)
-        first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
-        body = data.tobytes()
-        kept.update((k, body[a:b]) for k, a, b in zip(new.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True) if k not in kept)
-        hashes.append(h)
+        hashes.append(tokens.word_hashes(data, starts, ends))
         counts.append(n)
-    place, new = pd.factorize(blocks.joined(hashes, np.uint64))
+    place, new = pd.factorize(blocks.joined(hashes, np.uint64))  # no sort of all words
+    first = np.empty(len(new), np.int64)
+    first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
     order = np.argsort(new)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    keys = new[order]
-    return keys, [kept[k] for k in keys.tolist()], rank[place], blocks.joined(counts, np.int64)
-
-
-def _line(word: bytes) -> bytes:
-    for plain, marked in MARKED:
-        word = word.replace(plain.encode(), marked.encode())
-    return word
+    return new[order], first[order], rank[place], blocks.joined(counts, np.int64)
 
 
 def _word(line: Column) -> Column:
@@ -214,10 +204,13 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in blocks.cut(batches, "__words"):
-            keys, words, _, _ = _distinct(rows)
+            keys, first, _, _ = _distinct(rows)
+            words = rows["__words"].flatten().take(pa.array(first))
+            for plain, marked in MARKED:
+                words = pc.replace_substring(words, plain, marked)
             found = list(blocks.runs(keys, buckets))
-            lines = [_line(w) if b"\n" in w or b"\x01" in w else w for w in words]
-            column = pa.array([b"\n".join(lines[run_of]) for _, run_of in found], pa.binary()).cast(pa.string())
+            edges = np.array([0, *(run_of.stop for _, run_of in found)], np.int32)
+            column = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words), "\n")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array([k for k, _ in found], pa.int32()), column], ["block", "bucket", "words"])
 
     return docs.select("__words").mapInArrow(run, ASKED)
