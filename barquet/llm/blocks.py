@@ -4,14 +4,14 @@ Some operators need, for each word (or word pair) of a text, something that only
 every occurrence through a shuffle would cost many times the input. Instead
 
 1. each task cuts its rows into blocks of bounded size, takes each block's distinct keys, and sends them, dealt by
-   ranges of the key's hash into buckets, one row for each block and bucket;
-2. each bucket resolves the keys of all blocks together and answers each block with one row;
+   ranges of the key's hash, one row for each block and range;
+2. each range resolves the keys of all blocks together and answers each block with one row;
 3. the block itself, packed, meets its answers and is finished there.
 
-A key leaves a block once, however frequent it is, so no bucket is hot. Buckets get more as the input grows, so that one
-fits a task's memory; they are dealt to a bounded number of partitions, and a task resolves its buckets one after the
-other. A block sends rows only for the buckets that it has keys for, so there are never more rows than keys, whatever
-the number of buckets; larger blocks and buckets (as the executors' memory allows) mean fewer rows.
+A key leaves a block once, however frequent it is, so no range is hot. There are ``FAN_OUT`` ranges at most, so a block
+sends and gets a bounded number of rows, however large the input. What a task resolves at a time are buckets: a range is
+one bucket, or as many even parts as it takes for a bucket to fit the task's memory. Rows are cut by these parts only
+where their range is resolved; they are sorted there, and their answers are put together again, without a shuffle.
 
 Blocks are made twice, for 1 and for 3. They are named by a hash of their content, and a block that doesn't get an
 answer for each of its keys is an error, so that rows read in another order the second time can never give wrong
@@ -39,6 +39,7 @@ from barquet.llm import tokens
 BLOCK_BYTES = 16 << 20  #: bytes of text in a block, but for a longer single text
 BUCKET_BYTES = 8 << 20  #: bytes of text for each bucket
 LEAST_BUCKETS = 12
+FAN_OUT = 1024  #: rows that a block sends at most
 MOST_PARTITIONS = 8192
 PACKED = "block long, bucket int, body binary"
 ITSELF = -1  #: stands as bucket of the packed block
@@ -48,11 +49,17 @@ KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string":
 @dataclass(frozen=True)
 class Plan:
     blocks: int
-    buckets: int
+    ranges: int
+    within: int = 1  #: buckets of a range
+
+    @classmethod
+    def of(cls, blocks: int, buckets: int) -> Plan:
+        within = -(-buckets // FAN_OUT)
+        return cls(blocks, -(-buckets // within), within)
 
     @property
-    def bucket_partitions(self) -> int:
-        return min(self.buckets, MOST_PARTITIONS)
+    def buckets(self) -> int:
+        return self.ranges * self.within
 
     @property
     def block_partitions(self) -> int:
@@ -65,7 +72,7 @@ def plan(docs: DataFrame, text: str) -> Plan:
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.lit(0))).first()[0]
-    return Plan(max(1, -(-size // BLOCK_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    return Plan.of(max(1, -(-size // BLOCK_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
 def cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -166,21 +173,71 @@ def joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
-def answer(asked: DataFrame, p: Plan, resolve: Callable[[list[dict]], list[tuple]], schema: str = PACKED) -> DataFrame:
-    """``resolve(rows of a bucket, by block)`` for every bucket; one bucket at a time is in memory."""
+def within(sorted_keys: np.ndarray, of_range: int, p: Plan) -> np.ndarray:
+    """Where each bucket of a range begins among its sorted keys, and where the last one ends."""
+    first = of_range * p.within
+    edges = np.searchsorted(bucket_of(sorted_keys, p.buckets), np.arange(first, first + p.within).astype(np.uint64))
+    return np.append(edges, len(sorted_keys))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+
+def answer(asked: DataFrame, p: Plan, split: Callable[[dict, Plan], list[dict]], resolve: Callable[[list[dict]], list[tuple]], totals: str = "") -> DataFrame:
+    """``resolve(rows of a bucket, by block)`` for every bucket; one bucket at a time is in memory.
+
+    ``asked`` has a row for each block and range that it has keys of, the range in column ``bucket``; so has the answer, of
+    the columns of ``PACKED`` and long ones that are summed (``totals``). ``split`` cuts a row into those of its buckets,
+    where a range has several.
+    """
+    schema = PACKED + totals
+    columns = [c.split()[0] for c in schema.split(", ")]
+    names = ", ".join(f"{c} {t}" for c, t in asked.dtypes).replace("bigint", "long")
+
+    def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if held and row["bucket"] != held[0]["bucket"]:
-                    yield rows_of(resolve(held), schema)
-                    held = []
-                held.append(row)
-        if held:
-            yield rows_of(resolve(held), schema)
+                parts = split(row, p)
+                if parts:
+                    yield rows_of([tuple(x[c] for c in batch.schema.names) for x in parts], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _together(batches, "bucket"):
+            yield rows_of(resolve(rows), schema)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _together(batches, "block", "range"):
+            one = (rows[0]["block"], rows[0]["range"], frame([x["body"] for x in rows]))
+            yield rows_of([(*one, *(sum(x[c] for x in rows) for c in columns[3:]))], schema)
+
+    met = asked.repartition(p.ranges, "bucket")
+    if p.within == 1:
+        return met.sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+    made = met.mapInArrow(cut_rows, asked.schema).sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+    of_range = made.withColumn("range", F.floor(F.col("bucket") / p.within).cast("int"))
+    return of_range.sortWithinPartitions("block", "bucket").mapInArrow(put_together, schema)
+
+
+def _together(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[dict]]:
+    """Rows that stand together and are equal in these columns."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[c] != held[0][c] for c in by):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def frame(bodies: list[bytes]) -> bytes:
+    """Several bodies as one."""
+    return b"".join([len(bodies).to_bytes(8, "little"), np.array([len(b) for b in bodies], "<i8").tobytes(), *bodies])
+
 
-    return asked.repartition(p.bucket_partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+def unframe(body: bytes) -> list[bytes]:
+    n = int.from_bytes(body[:8], "little")
+    sizes = np.frombuffer(body, "<i8", n, 8)
+    stops = 8 + 8 * n + np.cumsum(sizes)
+    return [body[a:b] for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
 
 
 def finish(
@@ -209,7 +266,7 @@ def finish(
                 if bucket.as_py() == ITSELF:
                     rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks().to_batches()[0]
                 else:
-                    got.append(body.as_py())
+                    got += unframe(body.as_py()) if p.within > 1 else [body.as_py()]
         yield from solved()
 
     both = pack(docs, text).unionByName(answers.select("block", "bucket", "body"))

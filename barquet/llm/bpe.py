@@ -70,17 +70,26 @@ def _distinct(rows: pa.RecordBatch, text: str) -> tuple[np.ndarray, list[bytes]]
 
 
 def ask(docs: DataFrame, text: str, p: blocks.Plan) -> DataFrame:
-    """Each block's distinct words by bucket, a line each."""
+    """Each block's distinct words by range, a line each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in blocks.cut(batches, text):
             keys, words = _distinct(rows, text)
-            for k, run_of in blocks.runs(keys, p.buckets):
-                yield blocks.rows_of([(name, k, b"\n".join(words[run_of]).decode("utf-8", "replace"))], ASKED)
+            asked = [(name, k, b"\n".join(words[run_of]).decode("utf-8", "replace")) for k, run_of in blocks.runs(keys, p.ranges)]
+            if asked:
+                yield blocks.rows_of(asked, ASKED)
 
     return docs.mapInArrow(run, ASKED)
 
 
+def _split(row: dict, p: blocks.Plan) -> list[dict]:
+    """What a block asks of a range, by its buckets."""
+    words = row["words"].split("\n")
+    data, at = tokens.text_bytes(pa.array([row["words"]]))
+    at = blocks.within(tokens.word_hashes(data, *tokens.word_bounds(data, at)[:2]), row["bucket"], p)
+    return [{"block": row["block"], "bucket": row["bucket"] * p.within + k, "words": "\n".join(words[a:b])} for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+
+
 def answer(asked: DataFrame, definition: str, p: blocks.Plan) -> DataFrame:
     """Encode each distinct word of a bucket once, and answer each block with its words' ids in the order asked."""
 
@@ -98,7 +107,7 @@ def answer(asked: DataFrame, definition: str, p: blocks.Plan) -> DataFrame:
             out.append((row["block"], row["bucket"], packer.compress(len(counts).to_bytes(8, "little") + counts.tobytes() + flat.tobytes())))
         return out
 
-    return blocks.answer(asked, p, resolve)
+    return blocks.answer(asked, p, _split, resolve)
 
 
 def _read_answer(body: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -94,19 +94,31 @@ def set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _ask(rows: DataFrame, words: int, p: blocks.Plan) -> DataFrame:
-    """Each block's distinct shingles (40 bits) by bucket, and how many of its texts have them."""
+    """Each block's distinct shingles (40 bits) by range, and how many of its texts have them."""
     schema = "block long, bucket int, shingles binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block in blocks.cut(batches, "text"):
             found = [np.unique(shingles(part["text"], words)[0] >> CUT_BITS, return_counts=True) for part in tokens.slices(block, "text")]
             keys, counts = blocks.counted(*zip(*found, strict=True))
-            for k, part in blocks.runs(keys << CUT_BITS, p.buckets):
-                yield blocks.rows_of([(name, k, blocks.gaps(keys[part]), blocks.squeeze(counts[part]))], schema)
+            rows = [(name, k, blocks.gaps(keys[part]), blocks.squeeze(counts[part])) for k, part in blocks.runs(keys << CUT_BITS, p.ranges)]
+            if rows:
+                yield blocks.rows_of(rows, schema)
 
     return rows.mapInArrow(run, schema)
 
 
+def _split(row: dict, p: blocks.Plan) -> list[dict]:
+    """What a block asks of a range, by its buckets."""
+    keys, counts = blocks.from_gaps(row["shingles"]), blocks.expand(row["counts"])
+    at = blocks.within(keys << CUT_BITS, row["bucket"], p)
+    return [
+        {"block": row["block"], "bucket": row["bucket"] * p.within + k, "shingles": blocks.gaps(keys[a:b]), "counts": blocks.squeeze(counts[a:b])}
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))
+        if b > a
+    ]
+
+
 def _answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
     """How many texts have each shingle, to each block in the order asked."""
 
@@ -115,7 +127,7 @@ def _answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
         keys, total = blocks.counted(lists, [blocks.expand(r["counts"]) for r in rows])
         return [(r["block"], r["bucket"], blocks.squeeze(total[np.searchsorted(keys, x)])) for r, x in zip(rows, lists, strict=True)]
 
-    return blocks.answer(asked, p, resolve)
+    return blocks.answer(asked, p, _split, resolve)
 
 
 def _solve(words: int, threshold: float):

@@ -67,7 +67,7 @@ def _grams(stream: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
-    """Each block's distinct grams by bucket, with how often its training texts have them."""
+    """Each block's distinct grams by range, with how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in blocks.cut(batches, text):
@@ -80,15 +80,36 @@ def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
                     keys.append(k)
                     counts.append(n)
             whole = [blocks.counted(*f) for f in found]
-            where = [dict(blocks.runs(keys, p.buckets)) for keys, _ in whole]
-            for bucket in sorted({b for w in where for b in w}):
-                of = [w.get(bucket, slice(0, 0)) for w in where]
-                packed = [x for (keys, n), w in zip(whole, of, strict=True) for x in (blocks.gaps(keys[w]), blocks.squeeze(n[w]))]
-                yield blocks.rows_of([(name, bucket, *packed)], ASKED)
+            where = [dict(blocks.runs(keys, p.ranges)) for keys, _ in whole]
+            asked = []
+            for k in sorted({b for w in where for b in w}):
+                of = [w.get(k, slice(0, 0)) for w in where]
+                asked.append((name, k, *_packed([(keys[w], n[w]) for (keys, n), w in zip(whole, of, strict=True)])))
+            if asked:
+                yield blocks.rows_of(asked, ASKED)
 
     return docs.mapInArrow(run, ASKED)
 
 
+def _packed(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """Keys and counts of the grams of each length."""
+    return [x for keys, n in grams for x in (blocks.gaps(keys), blocks.squeeze(n))]
+
+
+def _split(row: dict, p: blocks.Plan) -> list[dict]:
+    """What a block asks of a range, by its buckets."""
+    grams = [(blocks.from_gaps(row[f"keys{k}"]), blocks.expand(row[f"counts{k}"])) for k in range(ORDER)]
+    at = [blocks.within(keys, row["bucket"], p) for keys, _ in grams]
+    names = [c.split()[0] for c in ASKED.split(", ")]
+    out = []
+    for k in range(p.within):
+        of = [slice(x[k], x[k + 1]) for x in at]
+        if any(w.stop > w.start for w in of):
+            parts = [(keys[w], n[w]) for (keys, n), w in zip(grams, of, strict=True)]
+            out.append(dict(zip(names, (row["block"], row["bucket"] * p.within + k, *_packed(parts)), strict=True)))
+    return out
+
+
 def answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
     """Total counts, to each block in the order asked: ``body``; each bucket's training tokens and distinct ones: ``n, v``."""
 
@@ -104,7 +125,7 @@ def answer(asked: DataFrame, p: blocks.Plan) -> DataFrame:
         first = [1] + [0] * (len(bodies) - 1)  # a bucket's totals stand in one of its rows
         return [(r["block"], r["bucket"], body, n * f, v * f) for r, body, f in zip(rows, bodies, first, strict=True)]
 
-    return blocks.answer(asked, p, resolve, blocks.PACKED + ", n long, v long")
+    return blocks.answer(asked, p, _split, resolve, ", n long, v long")
 
 
 def _counts(body: bytes) -> list[np.ndarray]:
