@@ -9,12 +9,14 @@ links.
    (``blocks``), which count all shingles of all texts by 40 bits of their hash; any fixed order would be right,
    this one keeps shared passages out of the prefixes, and a shingle that only one text has needs no partner.
 3. Cells: classes with the same least hash among the more frequent half of their shingles are a cell, or several if
-   they are many or long; a large group of near copies has few such hashes. Two cells are compared if a prefix shingle occurs in both; within them, the pairs
-   that share one. So a class is sent once for each cell that it may have a partner in, however many shingles it has in
+   they are many or long; a large group of near copies has few such hashes. Two cells are compared if a prefix shingle
+   occurs in both. So a class is sent once for each cell that it may have a partner in, however many shingles it has in
    common with it.
 4. Pruning: MinHash values of a pair are compared ``STEP`` at a time. With m of n equal and a uniform prior, the
    posterior probability that the similarity reaches the threshold is that of at most m successes in n + 1 draws
-   of chance ``threshold``; below ``TOLERANCE`` the pair is dropped.
+   of chance ``threshold``; below ``TOLERANCE`` the pair is dropped. First sketches alone are sent (``SKETCH`` values of
+   16 bits, whatever the size of a set), then the sets of those classes that still have a partner in that pair of cells;
+   of these the pairs that share a prefix shingle are compared by all values.
 5. The rest is verified exactly. Pairs never leave their task: what goes on are sums and a spanning forest.
 """
 
@@ -35,6 +37,7 @@ from barquet.llm.graph import components, written
 WORDS, THRESHOLD = 5, 0.8
 CUT_BITS = np.uint64(24)  #: of a shingle's hash, these don't count for its frequency
 HASHES, STEP, TOLERANCE = 128, 16, 1e-8
+SKETCH = 48  #: MinHash values that are sent ahead of the sets
 BLOCK, CELL_SHINGLES = 512, 1 << 19  #: classes, and shingles of all of them, in a cell, at about
 PAIRS = 100_000  #: pairs that are compared at a time
 COLUMNS = 2048  #: shingles whose owners are marked at a time
@@ -46,6 +49,7 @@ READ = T.StructType(
         T.StructField("n", T.IntegerType()),  #: shingles of the set
         T.StructField("mark", T.LongType()),  #: least hash of the more frequent half of the set
         T.StructField("shared", T.IntegerType()),  #: prefix shingles that others have too; they stand first in ``body``
+        T.StructField("sketch", T.BinaryType()),  #: low halves of its first MinHash values
         T.StructField("body", T.BinaryType()),  #: the set, once for each class of a block
     ]
 )
@@ -153,16 +157,18 @@ def _solve(words: int, threshold: float):
             mine = mine[np.unique(keys[mine], return_index=True)[1]]
             seen = np.concatenate([seen, keys[mine]])
             begin = np.cumsum(sizes) - sizes
-            mark, shared, bodies = np.zeros(n, np.int64), np.zeros(n, np.int32), [None] * n
-            for i in mine.tolist():
+            mark, shared, sketches, bodies = np.zeros(n, np.int64), np.zeros(n, np.int32), [None] * n, [None] * n
+            held = values[np.isin(texts, mine)]
+            signed = signatures(held, np.cumsum(sizes[np.sort(mine)]) - sizes[np.sort(mine)], SKETCH) if len(mine) else None
+            for k, i in enumerate(np.sort(mine).tolist()):
                 own, times = values[begin[i] : begin[i] + sizes[i]], often[begin[i] : begin[i] + sizes[i]]
                 order = np.lexsort((own, times, times < 2))
                 mark[i], shared[i] = own[times >= np.median(times)].min().view(np.int64), left[i]
-                bodies[i] = own[order].tobytes()
+                sketches[i], bodies[i] = signed[k].astype("<u2").tobytes(), own[order].tobytes()
             none = np.ones(n, bool)
             none[mine] = False
-            columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.array(mark, mask=none), pa.array(shared, mask=none), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, READ.names)
+            columns = [part["doc_id"], pa.array(keys, mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.array(mark, mask=none), pa.array(shared, mask=none)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.binary()), pa.array(bodies, pa.binary())], READ.names)
 
     return solve
 
@@ -177,21 +183,19 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n + 1
 
 
-def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values of each (non-empty) set."""
+def signatures(values: np.ndarray, begin: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The first MinHash values of each (non-empty) set."""
     seeds = tokens.mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).reshape(2, HASHES)
-    out = np.empty((len(begin), HASHES), np.uint32)
+    out = np.empty((len(begin), hashes), np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
+        for k in range(hashes):
             out[:, k] = np.minimum.reduceat(values * (seeds[0, k] | np.uint64(1)) + seeds[1, k], begin) >> np.uint64(32)
     return out
 
 
-def similar(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (left, right) of sets are links: pruned by MinHash values, the rest verified."""
-    begin = np.cumsum(sizes) - sizes
-    signed = signatures(values, begin)
-    needed = [least_matches(n, threshold, TOLERANCE) for n in range(STEP, HASHES + 1, STEP)]
+def likely(signed: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Numbers of the pairs (left, right) of sets that their sizes and MinHash values leave."""
+    needed = [least_matches(n, threshold, TOLERANCE) for n in range(STEP, signed.shape[1] + 1, STEP)]
     alive = [np.zeros(0, int)]
     for a in range(0, len(left), PAIRS):
         now = np.arange(a, min(a + PAIRS, len(left)))
@@ -203,7 +207,13 @@ def similar(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.n
             equal += (signed[left[now], step] == signed[right[now], step]).sum(1)
             now, equal = now[equal >= least], equal[equal >= least]
         alive.append(now)
-    alive = np.concatenate(alive)
+    return np.concatenate(alive)
+
+
+def similar(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (left, right) of sets are links: pruned by MinHash values, the rest verified."""
+    begin = np.cumsum(sizes) - sizes
+    alive = likely(signatures(values, begin), sizes, left, right, threshold)
     # Exact: mark one set, count the marks in all of its partners.
     out = np.zeros(len(left), bool)
     if not len(alive):
@@ -252,10 +262,40 @@ def sharing(unit: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) ->
     return out
 
 
+LIKELY = "i long, j long, key long"
 FOUND = "key long, links long, linked long, into long"
 UNIT = "i long, j long, cell long, key long, copies long, shared int, body binary"
 
 
+def _sketched(threshold: float):
+    """The classes of each pair of cells whose sketch has a likely partner in it."""
+
+    def partners(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (unit, i, j, cell, key, n, sketch) of whole units."""
+        unit, i, j, cell, keys, sizes = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:6])
+        signed = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), SKETCH)
+        across = (i == j)[:, None] | ((cell == i)[:, None] != (cell == i)[None, :])
+        left, right = np.nonzero(np.triu((unit[:, None] == unit[None, :]) & across, 1))
+        alive = likely(signed, sizes, left, right, threshold)
+        at = np.unique(np.concatenate([left[alive], right[alive]]))
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (i, j, keys)], ["i", "j", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unit, last = [], 0, None
+        for batch in batches:
+            for i, j, *row in zip(*(batch[c].to_pylist() for c in ("i", "j", "cell", "key", "n", "sketch")), strict=True):
+                if (i, j) != last:
+                    if len(held) > BLOCK:
+                        yield partners(held)
+                        held = []
+                    last, unit = (i, j), unit + 1
+                held.append((unit, i, j, *row))
+        if held:
+            yield partners(held)
+
+    return run
+
+
 def _compare(threshold: float):
     """Links within each pair of cells: by class their number, the texts at their other ends, and a smaller class that
     it is connected with by links, if any."""
@@ -347,7 +387,7 @@ def _cells(near: DataFrame) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
     large = counts.select("mark", "classes", parts.alias("parts")).where("parts > 1")
     salt = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1).cast("long")))
-    return attach(near, large, "mark", "classes", near.count()).select("key", "copies", F.xxhash64("mark", salt).alias("cell"))
+    return attach(near, large, "mark", "classes", near.count()).select("key", "copies", "n", F.xxhash64("mark", salt).alias("cell"))
 
 
 def _cell_pairs(sets: DataFrame) -> DataFrame:
@@ -370,7 +410,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     are taken for equal if their 64-bit keys are.
 
     The rows of ``docs`` are read three times (sizes, frequencies, sets). A class goes through every shuffle once for
-    each block of texts it is in or cell it meets, however many copies it has.
+    each block of texts it is in, its sketch once for each cell it meets, and its set once for each of these cells that
+    has a likely partner, however many copies it has.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     p = blocks.plan(rows, "text")
@@ -378,11 +419,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     ids = read.select("doc_id", "key", "n")
     own = read.where("key is not null and doc_id is not null")
     classes = written(own.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("mark").alias("mark")))
-    of_class = read.where("body is not null").groupBy("key").agg(F.first("shared").alias("shared"), F.first("body").alias("body"))
+    of_class = read.where("body is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("shared", "sketch", "body")))
     sets = written(_cells(classes.where("mark is not null")).join(of_class, "key"))
     pairs = written(_cell_pairs(sets))
     met = pairs.select("i", "j", F.col("i").alias("cell")).unionByName(pairs.where("i <> j").select("i", "j", F.col("j").alias("cell")))
-    units = sets.join(met, "cell").select(*(c.split()[0] for c in UNIT.split(", ")))
+    sketches = sets.select("cell", "key", "n", "sketch").join(met, "cell").repartition(min(p.buckets, blocks.MOST_PARTITIONS), "i", "j")
+    paired = written(sketches.sortWithinPartitions("i", "j").mapInArrow(_sketched(threshold), LIKELY))
+    units = sets.join(paired, "key").select(*(c.split()[0] for c in UNIT.split(", ")))
     found = written(units.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_compare(threshold), FOUND))
 
     groups = components(found.select(F.col("key").alias("a"), F.col("into").alias("b")))

@@ -82,6 +82,51 @@ def test_blocks_of_large_components(spark, monkeypatch):
     assert joined(spark, rows) == brute(rows)
 
 
+def boilerplate(n):
+    """Texts that are each made of ten of a hundred paragraphs."""
+    rng = random.Random(8)
+    paragraphs = [" ".join(f"p{p}w{k}" for k in range(40)) for p in range(100)]
+    return [(i, "\n".join(rng.sample(paragraphs, 10))) for i in range(n)]
+
+
+def test_shared_paragraphs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = boilerplate(120)
+    rows += [(1000 + i, rows[i][1] + " one more word") for i in (3, 50)]
+    assert joined(spark, rows) == brute(rows)
+
+
+def test_sets_of_shared_paragraphs_stay_behind(spark, monkeypatch):
+    """Sets go on only where a sketch has a likely partner; sketches are small beside them."""
+    sizes = {}
+
+    def kept(frame):
+        out = written(frame)
+        if set(out.columns) == {"i", "j", "key"}:
+            sizes["paired"] = out.count()
+        elif set(out.columns) == {"i", "j"}:
+            sizes["pairs"] = out.count()
+        return out
+
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", kept)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = boilerplate(300)
+    assert all(n == 0 for _, _, _, n, _ in joined(spark, rows))
+    assert sizes["pairs"] > 100 and sizes["paired"] < 30
+
+
+def test_sketches_keep_what_signatures_keep():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, 200, np.uint64)]
+    for k in (2, 10, 20, 60, 200):
+        sets.append(np.concatenate([sets[0][k:], rng.integers(0, 1 << 63, k, np.uint64)]))
+    sizes = np.array([len(x) for x in sets])
+    signed = jaccard.signatures(np.concatenate(sets), np.cumsum(sizes) - sizes, jaccard.SKETCH).astype("<u2")
+    left, right = np.zeros(5, int), np.arange(1, 6)
+    assert {0, 1, 2} <= {*jaccard.likely(signed, sizes, left, right, 0.8)} <= {0, 1, 2, 3}
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "other words that stand alone here"), (None, "a b c d e f"), (None, None), (7, "")]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
