@@ -4,6 +4,7 @@ A plain window puts a whole series into one task. Here a series of more than ``C
 quantiles of its order column, so that rows of one value stay together. Each chunk is a window of its own; what
 goes from chunk to chunk is small: for a running aggregate one state a chunk, whose own running aggregate is the carry
 of the next ones, and for a rolling one the last rows before the chunk. Short series are one chunk and cost a count more.
+A row finds its chunk by a binary search of the cuts. Where rows need both kinds, ``scan`` cuts, deals and sorts them once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ def _same(left: str, right: str, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by), F.lit(True))
 
 
+def _below(cuts: str, value: Column) -> Column:
+    """How many of the cuts (sorted, at most ``GRAIN``) are less than the value, bit by bit from the highest; none for null."""
+    bits = F.array(*(F.lit(1 << k) for k in reversed(range(GRAIN.bit_length()))))
+    return F.aggregate(bits, F.lit(0), lambda n, bit: F.when(F.get(F.col(cuts), n + bit - 1) < value, n + bit).otherwise(n))
+
+
 def chunked(rows: DataFrame, by: Sequence[str], at: str, size: int | None = None) -> tuple[DataFrame, bool]:
     """``rows`` with ``__chunk`` (int): rising with ``at`` within a series; and whether any series has more than one.
 
@@ -42,7 +49,7 @@ def chunked(rows: DataFrame, by: Sequence[str], at: str, size: int | None = None
     stride = F.greatest(F.floor(F.lit(GRAIN) / F.ceil(F.col("__n") / size)), F.lit(1)).cast("int")
     cuts = found.withColumn("__stride", stride).withColumn("__cuts", F.array_distinct(F.expr("filter(__all, (x, i) -> (i + 1) % __stride = 0)")))
     cuts = F.broadcast(cuts.select(*by, "__cuts").alias("c"))
-    chunk = F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(f"r.{at}"))), F.lit(0))
+    chunk = _below("__cuts", F.col(f"r.{at}"))
     own = rows.alias("r").join(cuts, _same("r", "c", by), "left").select("r.*", F.when(F.col("__cuts").isNull(), 0).otherwise(chunk).alias("__chunk"))
     return written(own), True
 
@@ -63,18 +70,47 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], made: dict
     Kinds are sum, max, min, count and last (the last value that isn't null); nulls don't count, and before the first value
     sum, max, min and last are null. With ``inclusive`` the row itself counts. The first order column cuts the chunks.
     """
-    values = {f"__v{k}": F.col(v) if isinstance(v, str) else v for k, (_, v) in enumerate(made.values())}
+    own, cut = chunked(rows.withColumns(_values(made)), by, order[0], size)
+    return _run(own, cut, rows.columns, by, order, made, inclusive).drop("__chunk")
+
+
+def rolling(rows: DataFrame, by: Sequence[str], order: Sequence[str], before: int, made: Callable[[tuple[str, ...]], dict[str, Column]], size: int | None = None) -> DataFrame:
+    """Add columns whose windows look back at most ``before`` rows.
+
+    ``made(partition)`` gives them; their windows have to be partitioned by ``partition`` and sorted by ``order``. A chunk
+    sees as many rows before it as there are, up to ``before``.
+    """
+    own, cut = chunked(rows, by, order[0], size)
+    return _roll(own, cut, by, order, before, made).drop("__chunk")
+
+
+def scan(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], before: int, rolled: Callable[[tuple[str, ...]], dict[str, Column]], run: dict[str, tuple[str, Column | str]], size: int | None = None
+) -> DataFrame:
+    """``rolling`` with ``rolled``, then ``running`` with ``run``, whose values may use what was rolled: cut, dealt and sorted once."""
+    own, cut = chunked(rows, by, order[0], size)
+    own = _roll(own, cut, by, order, before, rolled)
+    columns = [c for c in own.columns if c != "__chunk"]
+    return _run(own.withColumns(_values(run)), cut, columns, by, order, run).drop("__chunk")
+
+
+def _values(made: dict[str, tuple[str, Column | str]]) -> dict[str, Column]:
+    return {f"__v{k}": F.col(v) if isinstance(v, str) else v for k, (_, v) in enumerate(made.values())}
+
+
+def _run(own: DataFrame, cut: bool, columns: Sequence[str], by: Sequence[str], order: Sequence[str], made: dict[str, tuple[str, Column | str]], inclusive: bool = True) -> DataFrame:
+    """Running aggregates of rows that have their chunk and ``_values``: the columns, the chunk and what is made."""
     kinds = {name: (kind, f"__v{k}") for k, (name, (kind, _)) in enumerate(made.items())}
-    own, cut = chunked(rows.withColumns(values), by, order[0], size)
+    kept = [c for c in columns if c not in made]
     inside = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = own.withColumns({name: _AGGREGATES[kind](F.col(v)).over(inside) for name, (kind, v) in kinds.items()})
     if not cut:
-        return local.drop("__chunk", *values)
+        return local.drop(*(v for _, v in kinds.values()))
     at = F.struct(*order)
     state = lambda kind, v: F.max_by(v, F.when(F.col(v).isNotNull(), at)) if kind == "last" else _AGGREGATES[kind](F.col(v))
     states = own.groupBy(*by, "__chunk").agg(*(state(kind, v).alias(v) for kind, v in kinds.values()))
-    before = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    over = lambda kind, v: (F.sum if kind == "count" else _AGGREGATES[kind])(F.col(v)).over(before).alias(f"__c{v}")
+    past = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda kind, v: (F.sum if kind == "count" else _AGGREGATES[kind])(F.col(v)).over(past).alias(f"__c{v}")
     carry = states.select(*by, "__chunk", *(over(kind, v) for kind, v in kinds.values())).where("__chunk > 0")
 
     def both(name: str, kind: str, v: str) -> Column:
@@ -83,34 +119,30 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], made: dict
             return F.when(past.isNull(), mine).when(mine.isNull(), past).otherwise(mine + past)
         return F.coalesce(mine, past) if kind == "last" else (F.greatest if kind == "max" else F.least)(mine, past)
 
-    # Both sides are dealt by series and chunk already.
-    met = local.alias("r").join(carry.alias("s"), _same("r", "s", [*by, "__chunk"]), "left")
-    return met.select(*(F.col(f"r.{c}") for c in rows.columns if c not in made), *(both(name, kind, v).alias(name) for name, (kind, v) in kinds.items()))
+    # No more carries than cuts, which were broadcast, so the rows stay where they are.
+    met = local.alias("r").join(F.broadcast(carry.alias("s")), _same("r", "s", [*by, "__chunk"]), "left")
+    return met.select(*(F.col(f"r.{c}") for c in (*kept, "__chunk")), *(both(name, kind, v).alias(name) for name, (kind, v) in kinds.items()))
 
 
-def rolling(rows: DataFrame, by: Sequence[str], order: Sequence[str], before: int, made: Callable[[tuple[str, ...]], dict[str, Column]], size: int | None = None) -> DataFrame:
-    """Add columns whose windows look back at most ``before`` rows.
-
-    ``made(partition)`` gives them; their windows have to be partitioned by ``partition`` and sorted by ``order``. A chunk
-    sees as many rows before it as there are, up to ``before``.
-    """
-    own, cut = chunked(rows, by, order[0], size)
+def _roll(own: DataFrame, cut: bool, by: Sequence[str], order: Sequence[str], before: int, made: Callable[[tuple[str, ...]], dict[str, Column]]) -> DataFrame:
+    """Rolling columns of rows that have their chunk, which they keep."""
     partition = (*by, "__chunk")
     if not cut:
-        return own.withColumns(made(partition)).drop("__chunk")
+        return own.withColumns(made(partition))
     counts = own.groupBy(*partition).agg(F.count("*").alias("__n"))
     series = Window.partitionBy(*by).orderBy("__chunk")
     parts = counts.withColumn("__end", F.sum("__n").over(series.rowsBetween(Window.unboundedPreceding, 0)))
-    p, q = parts.alias("p"), parts.alias("q")
-    gap = F.col("q.__end") - F.col("q.__n") - F.col("p.__end")  # rows between the two chunks
-    reach = p.join(q, _same("p", "q", by) & (F.col("q.__chunk") > F.col("p.__chunk"))).where(gap < before)
-    reach = reach.select(*(F.col(f"p.{c}") for c in partition), F.col("q.__chunk").alias("__to"), gap.alias("__gap"))
+    # A chunk has a row at least, so no more than ``before`` chunks can see into one.
+    later = F.collect_list(F.struct(F.col("__chunk").alias("to"), (F.col("__end") - F.col("__n")).alias("begin"))).over(series.rowsBetween(1, max(before, 1)))
+    reach = parts.withColumn("__later", later).select(*partition, "__end", F.explode("__later").alias("q"))
+    gap = F.col("q.begin") - F.col("__end")  # rows between the two chunks
+    reach = reach.select(*partition, F.col("q.to").alias("__to"), gap.alias("__gap")).where(F.col("__gap") < before)
     back = F.row_number().over(Window.partitionBy(*partition).orderBy(*(F.col(c).desc_nulls_last() for c in order)))
     tails = own.withColumn("__back", back).where(F.col("__back") <= before).alias("t")
     halo = tails.join(reach.alias("h"), _same("t", "h", partition)).where(F.col("__gap") + F.col("__back") <= before)
-    halo = halo.select(*(F.col(f"t.{c}") for c in rows.columns), F.col("__to").alias("__chunk"), F.lit(False).alias("__own"))
+    halo = halo.select(*(F.col(f"t.{c}") for c in own.columns if c != "__chunk"), F.col("__to").alias("__chunk"), F.lit(False).alias("__own"))
     both = own.withColumn("__own", F.lit(True)).unionByName(halo)
-    return both.withColumns(made(partition)).where("__own").drop("__own", "__chunk")
+    return both.withColumns(made(partition)).where("__own").drop("__own")
 
 
 def disjoint(intervals: DataFrame, by: Sequence[str], start: str, end: str, order: Sequence[str] = (), size: int | None = None) -> DataFrame:

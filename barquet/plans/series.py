@@ -24,17 +24,16 @@ def series_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("cents", F.floor(F.col("value") * 100 + 0.5))
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
     made = {"peak": ("max", "cents"), "total": ("sum", "cents"), "nth": ("count", F.lit(1)), "last_purchase": ("last", bought)}
-    run = scans.running(events, ["event_type"], ["ts", "event_id"], made, size=SIZE)
     order = lambda by: Window.partitionBy(*by).orderBy("ts", "event_id")
     ten = lambda by: {"sum_of_ten": F.sum("cents").over(order(by).rowsBetween(-9, 0)), "change": F.col("cents") - F.lag("cents", 3).over(order(by))}
-    return scans.rolling(run, ["event_type"], ["ts", "event_id"], 9, ten, size=SIZE).select("event_id", *made, "sum_of_ten", "change")
+    return scans.scan(events, ["event_type"], ["ts", "event_id"], 9, ten, made, size=SIZE).select("event_id", *made, "sum_of_ten", "change")
 
 
 def price_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices put together again out of the first one and the sums of log returns."""
     b = market.bars(spark, sf_dir)
-    moved = scans.rolling(b, ["symbol"], ["timestamp"], 1, lambda by: {"move": indicators.log_return(by=by)}, size=SIZE)
-    started = scans.running(moved, ["symbol"], ["timestamp"], {"path": ("sum", "move"), "nth": ("count", F.lit(1))}, size=SIZE)
+    move = lambda by: {"move": indicators.log_return(by=by)}
+    started = scans.scan(b, ["symbol"], ["timestamp"], 1, move, {"path": ("sum", "move"), "nth": ("count", F.lit(1))}, size=SIZE)
     first = b.groupBy("symbol").agg(F.min_by("adj_close", "timestamp").alias("first"))
     price = F.col("first") * F.exp(F.coalesce("path", F.lit(0.0)))
     return rounded(started.join(first, "symbol").select("symbol", "timestamp", "nth", price.alias("price")), "price")

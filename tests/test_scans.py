@@ -102,3 +102,26 @@ def test_look_up_has_no_fan_out(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert sorted(r.e or 0 for r in got.collect()) == sorted([*[1000] * 1001, *range(1001, 2000), *[0] * 1000])
+
+
+@pytest.mark.parametrize("size", [3, 25, 1000])
+def test_scan_equals_windows_and_cuts_once(spark, size, monkeypatch):
+    """Rolling and running columns of one cut; the running one sums what was rolled."""
+    rows, cut = series(spark, size), []
+    chunked = scans.chunked
+    monkeypatch.setattr(scans, "chunked", lambda *a: cut.append(a) or chunked(*a))
+    w = lambda by: Window.partitionBy(*by).orderBy("t", "i")
+    rolled = lambda by: {"before": F.lag("i", 5).over(w(by)), "n": F.least(F.row_number().over(w(by)), F.lit(6))}
+    whole = w("k").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumns(rolled(("k",))).withColumns({"s": F.sum("before").over(whole), "z": F.last("v", True).over(whole)})
+    got = scans.scan(rows, ["k"], ["t", "i"], 5, rolled, {"s": ("sum", "before"), "z": ("last", "v")}, size)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert len(cut) == 1
+
+
+def test_rows_find_chunks_by_binary_search(spark):
+    rng = random.Random(1)
+    cuts = [sorted(rng.sample(range(3000), n)) for n in (0, 1, 7, 512, scans.GRAIN - 1)]
+    asked = [(c, x) for c in [None, *cuts] for x in [None, -1, *range(0, 3001, 50), *(c or [])[:9], *(c or [])[-9:]]]
+    got = spark.createDataFrame(asked, "c array<int>, x int").select("c", "x", scans._below("c", F.col("x")).alias("n")).collect()
+    assert all(r.n == (0 if r.c is None or r.x is None else sum(c < r.x for c in r.c)) for r in got)
