@@ -452,16 +452,42 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A row is its id and its text: rows that repeat an id with another text are judged each on its own. Rows without
     id, and rows without words, stay. No row is lost but those that another row of their group, or an equal row, stands
     for.
+
+    Rows are dropped in their blocks of texts (``blocks``): what is sorted and joined are ids and places, and the texts
+    themselves move once, packed. ``docs`` should be a table that is read, or a checkpoint.
     """
-    own = F.col(f"`{doc_id}`")
-    named = docs.where(own.isNotNull()).withColumn("__row", F.xxhash64(own, F.col(f"`{text}`")))
-    linked = join(named, "__row", text).where("n_links > 0")
+    own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    row = F.when(own.isNotNull(), F.xxhash64(own, body))
+    p = blocks.plan(docs, text)
+    linked = join(docs.where(own.isNotNull()).withColumn("__row", row), "__row", text).where("n_links > 0")
     member = written(linked.groupBy(F.col("doc_id").alias("__row")).agg(F.min("group_id").alias("group_id"), F.count("*").alias("times")))
-    first = member.join(named.select("__row", own.alias("__id")), "__row").groupBy("group_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
-    fate = written(member.join(first.select("__row", F.lit(True).alias("first")), "__row", "left"))
-    left = named.join(fate.where("first is null"), "__row", "left_anti")
-    twice = fate.where("first and times > 1").select("__row")
-    if not twice.isEmpty():
-        again = left.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
-        left = left.join(twice, "__row", "left_anti").unionByName(again)
-    return left.select(*docs.columns).unionByName(docs.where(own.isNull()))
+    places = written(_places(docs.withColumns({"__row": row, "__id": own}), text))
+    in_group = written(attach(places, member, "__row", "times", places.count()).where("group_id is not null"))
+    first = in_group.groupBy("group_id").agg(F.min(F.struct("__id", "__row", "block", "place")).alias("first")).select("first.block", "first.place")
+    dropped = in_group.join(first, ["block", "place"], "left_anti").groupBy("block").agg(F.array_join(F.sort_array(F.collect_list("place")), ",").cast("binary").alias("body"))
+
+    def solve(rows: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keep = np.ones(rows.num_rows, bool)
+        for told in got:
+            out = np.array(told.decode().split(","), np.int64)
+            blocks.fits(out[-1] < len(keep))
+            keep[out] = False
+        yield from tokens.slices(rows.filter(pa.array(keep)), text)
+
+    # A block meets a single row of places.
+    return blocks.finish(docs, dropped.withColumn("bucket", F.lit(0)), text, blocks.Plan(p.blocks, 1), solve, docs.schema)
+
+
+def _places(rows: DataFrame, text: str) -> DataFrame:
+    """``__row, __id`` of each row, and where it is: the block of texts, and the place in it.
+
+    ``rows`` has all columns that the blocks will have, as Spark's order of repartitioned rows depends on them.
+    """
+    schema = T.StructType([rows.schema["__row"], rows.schema["__id"], T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in blocks.cut(batches, text):
+            n = block.num_rows
+            yield pa.RecordBatch.from_arrays([block["__row"], block["__id"], pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32))], schema.names)
+
+    return rows.mapInArrow(run, schema)

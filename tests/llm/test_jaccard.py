@@ -145,6 +145,22 @@ def test_keep_one_of_ids_with_different_texts(spark):
         assert kept - {"k", "l"} == set("acefghj") and len(kept & {"k", "l"}) == 1
 
 
+def test_keep_one_moves_texts_only_packed(spark, monkeypatch, tmp_path):
+    """Without broadcasts too, no join or sort carries the texts: they go through one exchange, as packed blocks."""
+    rows = [(i, " ".join(f"w{i % 40}x{k}" for k in range(30)), f"s{i}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(jaccard.blocks, "BLOCK_BYTES", 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, kept.collect())) == sorted(rows[:40])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if " Join " in line]
+    assert joins and not any("text" in line for line in plan[plan.index(joins[0]) :].splitlines())
+
+
 def test_pruning_bounds():
     assert jaccard.least_matches(16, 0.8, 1e-8) < 16 * 0.4
     assert jaccard.least_matches(128, 0.8, 1e-8) > 128 * 0.5
