@@ -143,8 +143,8 @@ def encode(docs: DataFrame, definition: str, keep: list[str] | None = None, text
             starts, ends, n_words = tokens.word_bounds(data, at)
             h = tokens.word_hashes(data, starts, ends)
             parts.append((part, h, n_words))
-            known.append(np.unique(h))
-        keys = np.unique(np.concatenate(known))
+            known.append(blocks.distinct(h))
+        keys = blocks.distinct(np.concatenate(known))
         blocks.fits(len(keys) == len(counts))
         pieces = _pieces(definition)
         for part, h, n_words in parts:

@@ -244,8 +244,8 @@ def score(docs: DataFrame, train: str = "train", keep: list[str] | None = None,
         answered = [_counts(body) for body in got]
         counts = [blocks.joined([c[k] for c in answered], np.uint64) for k in range(ORDER)]
         parts = list(tokens.slices(rows, "__text"))
-        own = zip(*([np.unique(keys) for keys, _ in _grams(*_stream(part, "__text"))] for part in parts), strict=True)
-        known = [np.unique(np.concatenate(keys)) for keys in own]
+        own = zip(*([blocks.distinct(keys) for keys, _ in _grams(*_stream(part, "__text"))] for part in parts), strict=True)
+        known = [blocks.distinct(np.concatenate(keys)) for keys in own]
         blocks.fits([len(k) for k in known] == [len(c) for c in counts])
         for part in parts:
             stream, sizes = _stream(part, "__text")

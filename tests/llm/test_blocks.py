@@ -63,3 +63,13 @@ def test_same_as_one_bucket_each(spark, monkeypatch, run):
     one = sorted(map(str, made().collect()))
     monkeypatch.setattr(blocks, "FAN_OUT", 3)
     assert sorted(map(str, made().collect())) == one
+
+
+def test_distinct_keys():
+    """Sorted and distinct; the keys given stay as they are."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        for top in (1, 3, 1 << 63):
+            keys = rng.integers(0, top, n, np.uint64)
+            before = keys.copy()
+            assert blocks.distinct(keys).tolist() == sorted(set(keys.tolist())) and (keys == before).all()
