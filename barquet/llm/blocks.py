@@ -105,17 +105,27 @@ def cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, p
         yield block()
 
 
+def each(batches: Iterator[pa.RecordBatch], column: str, work: Callable[[int, pa.RecordBatch], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """``work(name, block)`` for every block of a task, if it isn't None; one block at a time is in memory."""
+    for name, block in cut(batches, column):
+        out = work(name, block)
+        del block
+        if out is not None:
+            yield out
+        del out
+        tokens.give_back()
+
+
 def pack(docs: DataFrame, text: str) -> DataFrame:
     """The blocks themselves, to be joined by their answers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in cut(batches, text):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(rows)
-            yield rows_of([(name, ITSELF, out.getvalue().to_pybytes())], PACKED)
+    def packed(name: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(rows)
+        return rows_of([(name, ITSELF, out.getvalue().to_pybytes())], PACKED)
 
-    return docs.mapInArrow(run, PACKED)
+    return tokens.mapped(docs, lambda batches: each(batches, text, packed), PACKED)
 
 
 def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -144,9 +154,12 @@ def distinct(keys: np.ndarray) -> np.ndarray:
 
 
 def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts (exact up to 2**53)."""
-    distinct, place = np.unique(joined(keys, np.uint64), return_inverse=True)
-    return distinct, np.bincount(place, weights=joined(counts, np.float64), minlength=len(distinct)).astype(np.uint64)
+    """Distinct keys, sorted, and the sums of their counts."""
+    every = joined(keys, np.uint64)
+    order = np.argsort(every)
+    every = every[order]
+    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[starts], np.add.reduceat(joined(counts, np.uint64).astype(np.uint64, copy=False)[order], starts)
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -207,6 +220,8 @@ def answer(asked: DataFrame, p: Plan, split: Callable[[dict, Plan], list[dict]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _together(batches, "bucket"):
             yield rows_of(resolve(rows), schema)
+            del rows
+            tokens.give_back()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _together(batches, "block", "range"):
@@ -215,10 +230,10 @@ def answer(asked: DataFrame, p: Plan, split: Callable[[dict, Plan], list[dict]],
 
     met = asked.repartition(p.ranges, "bucket")
     if p.within == 1:
-        return met.sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
-    made = met.mapInArrow(cut_rows, asked.schema).sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+        return tokens.mapped(met.sortWithinPartitions("bucket", "block"), run, schema)
+    made = tokens.mapped(tokens.mapped(met, cut_rows, asked.schema).sortWithinPartitions("bucket", "block"), run, schema)
     of_range = made.withColumn("range", F.floor(F.col("bucket") / p.within).cast("int"))
-    return of_range.sortWithinPartitions("block", "bucket").mapInArrow(put_together, schema)
+    return tokens.mapped(of_range.sortWithinPartitions("block", "bucket"), put_together, schema)
 
 
 def _together(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[dict]]:
@@ -263,6 +278,7 @@ def finish(
             if name is not None:
                 fits(rows is not None)
                 yield from solve(rows, got)
+                tokens.give_back()
 
         for batch in batches:
             for block, bucket, body in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -276,4 +292,4 @@ def finish(
         yield from solved()
 
     both = pack(docs, text).unionByName(answers.select("block", "bucket", "body"))
-    return both.repartition(p.block_partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
+    return tokens.mapped(both.repartition(p.block_partitions, "block").sortWithinPartitions("block", "bucket"), run, schema)

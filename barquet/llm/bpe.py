@@ -72,14 +72,12 @@ def _distinct(rows: pa.RecordBatch, text: str) -> tuple[np.ndarray, list[bytes]]
 def ask(docs: DataFrame, text: str, p: blocks.Plan) -> DataFrame:
     """Each block's distinct words by range, a line each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in blocks.cut(batches, text):
-            keys, words = _distinct(rows, text)
-            asked = [(name, k, b"\n".join(words[run_of]).decode("utf-8", "replace")) for k, run_of in blocks.runs(keys, p.ranges)]
-            if asked:
-                yield blocks.rows_of(asked, ASKED)
+    def asked(name: int, rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, words = _distinct(rows, text)
+        lines = [(name, k, b"\n".join(words[run_of]).decode("utf-8", "replace")) for k, run_of in blocks.runs(keys, p.ranges)]
+        return blocks.rows_of(lines, ASKED) if lines else None
 
-    return docs.mapInArrow(run, ASKED)
+    return tokens.mapped(docs, lambda batches: blocks.each(batches, text, asked), ASKED)
 
 
 def _split(row: dict, p: blocks.Plan) -> list[dict]:
@@ -177,4 +175,4 @@ def decode(encoded: DataFrame, definition: str, ids: str = "ids", decoded: str =
             texts = [None if x is None else b" ".join(pieces[i] for i in x if i is not None and 0 <= i < len(pieces) and pieces[i]).decode() for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return tokens.mapped(source, run, schema)

@@ -101,15 +101,12 @@ def _ask(rows: DataFrame, words: int, p: blocks.Plan) -> DataFrame:
     """Each block's distinct shingles (40 bits) by range, and how many of its texts have them."""
     schema = "block long, bucket int, shingles binary, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in blocks.cut(batches, "text"):
-            found = [np.unique(shingles(part["text"], words)[0] >> CUT_BITS, return_counts=True) for part in tokens.slices(block, "text")]
-            keys, counts = blocks.counted(*zip(*found, strict=True))
-            rows = [(name, k, blocks.gaps(keys[part]), blocks.squeeze(counts[part])) for k, part in blocks.runs(keys << CUT_BITS, p.ranges)]
-            if rows:
-                yield blocks.rows_of(rows, schema)
+    def ask(name: int, block: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, counts = np.unique(np.concatenate([shingles(part["text"], words)[0] >> CUT_BITS for part in tokens.slices(block, "text")]), return_counts=True)
+        asked = [(name, k, blocks.gaps(keys[part]), blocks.squeeze(counts[part])) for k, part in blocks.runs(keys << CUT_BITS, p.ranges)]
+        return blocks.rows_of(asked, schema) if asked else None
 
-    return rows.mapInArrow(run, schema)
+    return tokens.mapped(rows, lambda batches: blocks.each(batches, "text", ask), schema)
 
 
 def _split(row: dict, p: blocks.Plan) -> list[dict]:
@@ -140,13 +137,14 @@ def _solve(words: int, threshold: float):
     def solve(block: pa.RecordBatch, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         frequency = blocks.joined([blocks.expand(x) for x in got], np.uint64)
         parts = [(part, *shingles(part["text"], words)) for part in tokens.slices(block, "text")]
-        known, place = np.unique(np.concatenate([v for _, v, _ in parts]) >> CUT_BITS, return_inverse=True)
+        known = blocks.distinct(np.concatenate([v >> CUT_BITS for _, v, _ in parts]))
         blocks.fits(len(known) == len(frequency))
-        done, seen = 0, np.zeros(0, np.int64)
+        seen = np.zeros(0, np.int64)
         for part, values, sizes in parts:
             keys, n = set_keys(values, sizes), part.num_rows
-            often = frequency[place[done : done + len(values)]]
-            done += len(values)
+            cut = values >> CUT_BITS
+            order, often = np.argsort(cut), np.empty(len(cut), np.uint64)
+            often[order] = frequency[np.searchsorted(known, cut[order])]
             texts = np.repeat(np.arange(n), sizes)
             # What only one text has comes first in the order and is left out; the rest of the prefix, if any, is sorted.
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
@@ -392,7 +390,7 @@ def _cells(near: DataFrame) -> DataFrame:
 
 def _cell_pairs(sets: DataFrame) -> DataFrame:
     """The pairs of cells that have a prefix shingle in common: ``i, j`` with i <= j, and each cell with itself."""
-    posts = sets.select("cell", "shared", "body").mapInArrow(_prefixes, "shingle long, cell long")
+    posts = tokens.mapped(sets.select("cell", "shared", "body"), _prefixes, "shingle long, cell long")
     # Shingles that the same cells have give the same pairs.
     meet = posts.groupBy("shingle").agg(F.array_sort(F.collect_set("cell")).alias("cells")).where(F.size("cells") > 1).select("cells").distinct()
     left = meet.select("cells", F.posexplode("cells").alias("at", "i"))
@@ -424,9 +422,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     pairs = written(_cell_pairs(sets))
     met = pairs.select("i", "j", F.col("i").alias("cell")).unionByName(pairs.where("i <> j").select("i", "j", F.col("j").alias("cell")))
     sketches = sets.select("cell", "key", "n", "sketch").join(met, "cell").repartition(min(p.buckets, blocks.MOST_PARTITIONS), "i", "j")
-    paired = written(sketches.sortWithinPartitions("i", "j").mapInArrow(_sketched(threshold), LIKELY))
+    paired = written(tokens.mapped(sketches.sortWithinPartitions("i", "j"), _sketched(threshold), LIKELY))
     units = sets.join(paired, "key").select(*(c.split()[0] for c in UNIT.split(", ")))
-    found = written(units.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_compare(threshold), FOUND))
+    found = written(tokens.mapped(units.repartition("i", "j").sortWithinPartitions("i", "j"), _compare(threshold), FOUND))
 
     groups = components(found.select(F.col("key").alias("a"), F.col("into").alias("b")))
     sums = found.groupBy("key").agg(F.sum("linked").alias("linked"))
@@ -485,9 +483,8 @@ def _places(rows: DataFrame, text: str) -> DataFrame:
     """
     schema = T.StructType([rows.schema["__row"], rows.schema["__id"], T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in blocks.cut(batches, text):
-            n = block.num_rows
-            yield pa.RecordBatch.from_arrays([block["__row"], block["__id"], pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32))], schema.names)
+    def placed(name: int, block: pa.RecordBatch) -> pa.RecordBatch:
+        n = block.num_rows
+        return pa.RecordBatch.from_arrays([block["__row"], block["__id"], pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return tokens.mapped(rows, lambda batches: blocks.each(batches, text, placed), schema)

@@ -31,7 +31,7 @@ from barquet.llm import tokens
 UNDETERMINED = "und"
 SLOTS, KINDS = 1 << 15, 4
 FULL, LEAST_SLOTS = 64, 1 << 8  #: labels with all slots to themselves; slots of a kind that labels have at least
-READ_BYTES, LABEL_BYTES = 1 << 20, 6 << 20  #: bytes of text whose letters, and whose words, a task holds in arrays
+READ_BYTES, LABEL_BYTES = 1 << 19, 4 << 20  #: bytes of text whose letters, and whose words, a task holds in arrays
 
 #: Code point ranges of scripts. Letters outside them form one more group.
 SCRIPTS = (
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     share = spark.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in languages], "lang string, share double")
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     slot = F.when(F.col("slot") < KINDS * SLOTS, F.shiftright("slot", shift)).otherwise(F.col("slot") - KINDS * (SLOTS - (SLOTS >> shift))).cast("int")
-    counted = usable.join(F.broadcast(share), "lang").where(drawn).select("text", "lang").mapInArrow(_count, "lang string, slot int, n long")
+    counted = tokens.mapped(usable.join(F.broadcast(share), "lang").where(drawn).select("text", "lang"), _count, "lang string, slot int, n long")
     rows = counted.groupBy("lang", slot.alias("slot")).agg(F.sum("n").alias("n")).toArrow()
     slots = SLOTS >> shift
     scripts = KINDS * slots
@@ -252,8 +252,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
             for part in tokens.slices(batch, "__text", _fewer(LABEL_BYTES, model)):
                 columns = _label(part, model)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], [*keep, *made])
+                tokens.give_back()
 
-    return carried.mapInArrow(label, schema)
+    return tokens.mapped(carried, label, schema)
 
 
 def _fewer(limit: int, model: Model) -> int:

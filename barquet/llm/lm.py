@@ -69,26 +69,24 @@ def _grams(stream: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
 def ask(docs: DataFrame, text: str, train: str, p: blocks.Plan) -> DataFrame:
     """Each block's distinct grams by range, with how often its training texts have them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in blocks.cut(batches, text):
-            found = [([], []) for _ in range(ORDER)]
-            for part in tokens.slices(rows, text):
-                stream, sizes = _stream(part, text)
-                learn = np.repeat(part[train].to_numpy(zero_copy_only=False), sizes)
-                for (keys, counts), (grams, at) in zip(found, _grams(stream, sizes), strict=True):
-                    k, n = blocks.counted([grams], [learn[at]])
-                    keys.append(k)
-                    counts.append(n)
-            whole = [blocks.counted(*f) for f in found]
-            where = [dict(blocks.runs(keys, p.ranges)) for keys, _ in whole]
-            asked = []
-            for k in sorted({b for w in where for b in w}):
-                of = [w.get(k, slice(0, 0)) for w in where]
-                asked.append((name, k, *_packed([(keys[w], n[w]) for (keys, n), w in zip(whole, of, strict=True)])))
-            if asked:
-                yield blocks.rows_of(asked, ASKED)
-
-    return docs.mapInArrow(run, ASKED)
+    def ask_of(name: int, rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [([], []) for _ in range(ORDER)]
+        for part in tokens.slices(rows, text):
+            stream, sizes = _stream(part, text)
+            learn = np.repeat(part[train].to_numpy(zero_copy_only=False), sizes)
+            for (keys, counts), (grams, at) in zip(found, _grams(stream, sizes), strict=True):
+                k, n = blocks.counted([grams], [learn[at]])
+                keys.append(k)
+                counts.append(n)
+        whole = [blocks.counted(*f) for f in found]
+        where = [dict(blocks.runs(keys, p.ranges)) for keys, _ in whole]
+        asked = []
+        for k in sorted({b for w in where for b in w}):
+            of = [w.get(k, slice(0, 0)) for w in where]
+            asked.append((name, k, *_packed([(keys[w], n[w]) for (keys, n), w in zip(whole, of, strict=True)])))
+        return blocks.rows_of(asked, ASKED) if asked else None
+
+    return tokens.mapped(docs, lambda batches: blocks.each(batches, text, ask_of), ASKED)
 
 
 def _packed(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:

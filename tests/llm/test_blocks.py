@@ -1,5 +1,9 @@
 """Blocks and ranges: a bounded number of rows for each block, whatever the size of the input."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -73,3 +77,44 @@ def test_distinct_keys():
             keys = rng.integers(0, top, n, np.uint64)
             before = keys.copy()
             assert blocks.distinct(keys).tolist() == sorted(set(keys.tolist())) and (keys == before).all()
+
+
+def test_counts_are_exact():
+    keys, counts = blocks.counted([np.array([3, 5], np.uint64), np.array([5, 1], np.uint64)], [np.array([1, 1 << 53], np.uint64), np.array([1, 2], np.uint64)])
+    assert keys.tolist() == [1, 3, 5] and counts.tolist() == [2, 1, (1 << 53) + 1]
+    assert [len(x) for x in blocks.counted([], [])] == [0, 0]
+
+
+HELD = """
+import ctypes
+import re
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from barquet.llm import blocks, bpe, jaccard
+
+def held():
+    return int(re.search(r"\\nAnonymous: +([0-9]+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+class Docs:
+    def mapInArrow(self, run, schema):
+        return sum(b.num_rows for b in run(made() for _ in range(2)))
+
+def made():
+    words = np.random.default_rng(0).integers(0, 1 << 40, 1_200_000)
+    return pa.record_batch({"text": [" ".join(map(str, words[k : k + 600].tolist())) for k in range(0, len(words), 600)]})
+
+ask = {"jaccard": lambda: jaccard._ask(Docs(), 5, p), "bpe": lambda: bpe.ask(Docs(), "text", p)}
+p = blocks.Plan.of(2, 12)
+made(), blocks.tokens._powers(), pa.default_memory_pool().release_unused(), ctypes.CDLL(None).malloc_trim(0)
+before = held()
+assert ask[NAME]() > 0
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+@pytest.mark.parametrize("name", ["jaccard", "bpe"])
+def test_memory_is_given_back(name):
+    code = HELD.replace("NAME", repr(name))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert float(out.stdout) < 40
